@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, rules, sharding
+from quern.llm import contamination, debruijn, mixing, rules, sharding, simhash, substrings
 from quern.llm.common import table
 
 
@@ -23,4 +23,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), leaves, more=sharding.grown(leaves))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op4_sharding)}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.repeats(table(spark, sf_dir, "documents")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digest(debruijn.repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mixing, op4_sharding, op7_suffix_dedup, op8_simhash, op9_decontamination, op10_substring_dedup)}

@@ -1,0 +1,213 @@
+"""Repeated windows of a corpus, found through runs of windows instead of single ones.
+
+A window is ``width`` consecutive units (bytes or words) of one document. Each window is assigned the
+gram of ``gram`` units in it with the least hash, the leftmost of equals. Which one that is depends on
+the window's content alone, so equal windows have equal grams at equal places: windows whose gram occurs
+once in the corpus are unique and drop out at once. Neighbouring windows with the same gram occurrence
+are one *run*, so a document of n units gives about 2 n / (width - gram + 2) rows instead of n.
+
+1. ``shared``: grams that occur at two or more coordinates. All other runs are settled: unique.
+2. Runs of a shared gram whose whole content is equal form a class. The windows of a class repeat if the
+   class has two coordinates.
+3. Only where one gram has several classes can windows of different classes be equal. One run of each
+   class is expanded into its windows there, and equal windows meet by (gram, window hash).
+
+All steps aggregate before they shuffle (least and greatest coordinate), so a passage that a third of
+all documents share is one row per task; no group is ever gathered. A coordinate is (document id, tie,
+start): documents with one id and different texts differ in ``tie``, and rows that repeat a document
+entirely share its coordinates and count once.
+
+Hashes are polynomial, modulo 2 ** 64, with random values for bytes or XXH64 for words, and finalised;
+two equal pairs (gram, content) stand for 128 bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import written
+from quern.llm.contamination import mixed
+
+#: Windows worked on at a time; the scratch space is about ten arrays of so many longs.
+CHUNK = 1 << 20
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+LOW = np.uint64((1 << 24) - 1)
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    if len(_powers.get(base, ())) < n:
+        out = np.full(1 << (n - 1).bit_length(), base, dtype=np.uint64)
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
+
+
+class Prefix:
+    """Hashes of any stretch of a sequence of unit values."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * powers(BASE, n), out=self.sums[1:])
+        self.back = powers(INVERSE, n + 1)
+
+    def of(self, start, end) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+
+    def every(self, length: int) -> np.ndarray:
+        """Of all stretches of that length."""
+        return mixed((self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length])
+
+
+def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive keys (van Herk's two passes over blocks)."""
+    n = len(keys) - width + 1
+    padded = np.full(-(-len(keys) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[: len(keys)] = keys
+    blocks = padded.reshape(-1, width)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+
+
+def runs_of(values: np.ndarray, ends: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, windows, gram hash, content hash) of the runs in documents laid end to end; ends: where each document ends."""
+    span = width - gram + 1
+    for low in range(0, len(values) - width + 1, CHUNK):
+        own = values[low : low + CHUNK + width - 1]
+        hashed = Prefix(own)
+        grams = hashed.every(gram)
+        place = np.arange(len(grams), dtype=np.uint64)
+        least = (sliding_least((grams & ~LOW) | place, span) & LOW).astype(np.int64)
+        # windows that end inside the document in which they start
+        starts = np.arange(low, low + len(least))
+        inside = np.flatnonzero(starts + width <= ends[np.searchsorted(ends, starts, side="right")])
+        if not len(inside):
+            continue
+        anchors = least[inside]
+        cut = np.flatnonzero((anchors[1:] != anchors[:-1]) | (inside[1:] != inside[:-1] + 1)) + 1
+        first, last = inside[np.r_[0, cut]], inside[np.r_[cut - 1, len(inside) - 1]]
+        yield first + low, last - first + 1, grams[anchors[np.r_[0, cut]]], hashed.of(first, last + width)
+
+
+@dataclass(frozen=True)
+class Units:
+    """What a window is made of: values() gives the unit hashes of a batch of texts, and each text's units."""
+
+    kind: str
+
+    def values(self, texts: pa.Array, known: dict) -> tuple[np.ndarray, np.ndarray]:
+        if self.kind == "bytes":
+            bare = texts.fill_null(b"")
+            offsets = np.frombuffer(bare.buffers()[1], dtype=np.int32 if pa.types.is_binary(bare.type) else np.int64)[bare.offset : bare.offset + len(bare) + 1]
+            data = np.frombuffer(bare.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+            table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+            return table[data], np.diff(offsets).astype(np.int64)
+        out, sizes = [], []
+        for t in texts:
+            words = (t.as_py() or b"").split()
+            if len(known) > 400_000:
+                known.clear()
+            out.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+            sizes.append(len(words))
+        return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), np.array(sizes, dtype=np.int64)
+
+
+class ExactWords(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = out = xxh64_intdigest(word, 7)
+        return out
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, text): null ids become the least long, tie is 0 unless an id occurs more than once."""
+    several = bool(docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+    tie = F.xxhash64(F.col(text_col)) if several else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), tie.alias("tie"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("given"))
+
+
+RUN = "id bigint, tie bigint, start int, n int, gram bigint, content bigint"
+AT = "struct(id, tie, start)"
+
+
+def all_runs(rows: DataFrame, units: Units, width: int, gram: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ExactWords()
+        for b in batches:
+            values, sizes = units.values(b.column(2), known)
+            ends = np.cumsum(sizes)
+            ids, ties = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for start, n, g, content in runs_of(values, ends, width, gram):
+                doc = np.searchsorted(ends, start, side="right")
+                at = start - (ends - sizes)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ties[doc]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(content.view(np.int64))], names=["id", "tie", "start", "n", "gram", "content"])
+
+    return rows.select("id", "tie", "text").mapInArrow(run, RUN)
+
+
+def expanded(rows: DataFrame, chosen: DataFrame, units: Units, width: int) -> DataFrame:
+    """(id, tie, start, gram, window) of each window of the chosen runs (id, tie, start, n, gram)."""
+    wanted = chosen.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "gram")).alias("runs"))  # of one document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ExactWords()
+        for b in batches:
+            for i in range(len(b)):
+                values, _ = units.values(b.column(2).slice(i, 1), known)
+                mine = b.column(3)[i].values
+                start, n, gram = (mine.field(k).to_numpy() for k in range(3))
+                at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                window = Prefix(values).of(at, at + width)
+                same = lambda x, k: pa.array(np.full(k, x, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([same(b.column(0)[i].as_py(), len(at)), same(b.column(1)[i].as_py(), len(at)), pa.array(at.astype(np.int32)), pa.array(np.repeat(gram, n)), pa.array(window.view(np.int64))], names=["id", "tie", "start", "gram", "window"])
+
+    with_text = rows.select("id", "tie", "text")
+    return with_text.join(wanted, ["id", "tie"]).mapInArrow(run, "id bigint, tie bigint, start int, gram bigint, window bigint")
+
+
+def repeated(rows: DataFrame, units: Units, width: int, gram: int, first_stays: bool) -> DataFrame:
+    """(id, tie, start, n): runs of n windows that occur elsewhere too, or, if first_stays, earlier.
+
+    rows: from keyed(). "Earlier" is in order of coordinates.
+    """
+    runs = written(all_runs(rows, units, width, gram))
+    by_gram = runs.groupBy("gram").agg(F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last"), F.expr("min(content) <> max(content)").alias("several"))
+    shared = written(by_gram.where("first <> last").select("gram", "first", "several"))
+    later = F.expr(f"{AT} <> first") if first_stays else F.lit(True)
+    met = runs.join(shared, "gram")
+    plain = met.where(~F.col("several") & later).select("id", "tie", "start", "n")
+    mixed_runs = written(met.where("several").drop("first", "several"))
+    classes = mixed_runs.groupBy("gram", "content").agg(F.expr("min(struct(id, tie, start, n))").alias("one"), F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last"))
+    classes = written(classes)
+    repeats = classes.where("first <> last").select("gram", "content", "first")
+    whole = mixed_runs.join(repeats, ["gram", "content"]).where(later).select("id", "tie", "start", "n")
+    windows = written(expanded(rows, classes.select("one.*", "gram"), units, width))
+    # rows that repeat a document give its windows again, at the same coordinates
+    met_again = written(windows.groupBy("gram", "window").agg(F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last")).where("first <> last").drop("last"))
+    single = windows.join(met_again, ["gram", "window"]).where(later).select("id", "tie", "start", F.lit(1).alias("n"))
+    return plain.unionByName(whole).unionByName(single)
+
+
+def covered(size: int, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Which of a document's units lie in one of its repeated windows."""
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n - 1 + width, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(given, text, spans) for every document; spans: its runs, null if none."""
+    own = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return rows.join(own, ["id", "tie"], "left").select("given", "text", "spans")
