@@ -188,7 +188,7 @@ def as_array(v: Value) -> Value:
 
 
 def entries(v: Value) -> Value:
-    """An object as array of {k, v}, in key order; absent fields have no entry."""
+    """An object as array of {k, v}, in the map's own order; absent fields have no entry."""
     if isinstance(v.type, T.MapType):
         t = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", v.type.valueType)]))
         return Value(F.transform(F.map_entries(v.col), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), t)
