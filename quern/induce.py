@@ -1,7 +1,7 @@
 """Schema induction: paths, types, free keys and stored values of documents.
 
-A document is read as JSON. A flat_map over a nested value is done by one Spark expression for each level:
-objects and arrays are opened as VARIANT entries, level by level to ``DEPTH``, and everything that is
+A document is read as JSON. Objects and arrays are opened as VARIANT entries, one Spark expression for
+each level to ``DEPTH``, and everything that is
 then known about a path is an aggregate over (path, document), so a collection of any size is induced
 without gathering documents anywhere. Only the finished index, one entry for each path, reaches the driver.
 """
@@ -33,21 +33,19 @@ def _kind(v: Column) -> Column:
 def walk(df: DataFrame, id_col: str = "_id", depth: int = DEPTH, items: int = ITEMS) -> DataFrame:
     """(doc, path, parent, key, kind, value): one row for every node of every document; array elements go by ``[]``."""
     doc = F.parse_json(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
-    now = df.select(F.col(id_col).cast("string").alias("doc"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), doc.alias("v"))
-    out = None
-    for level in range(depth + 1):
-        typed = now.withColumn("kind", _kind(F.col("v")))
-        own = typed.select("doc", "path", "parent", "key", "kind", F.when(F.col("kind").isin("string", "number", "bool"), F.try_variant_get("v", "$", "string")).alias("value")).where("path <> ''")
-        out = own if out is None else out.unionByName(own)
-        if level == depth:
-            break
-        dot = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
-        objects = typed.where("kind = 'object'").withColumn("m", F.try_variant_get("v", "$", "map<string,variant>")).select("doc", "path", F.explode("m"), dot.alias("dot"))
-        objects = objects.select("doc", F.concat("dot", "key").alias("to"), F.col("path").alias("parent"), "key", F.col("value").alias("v"))
-        arrays = typed.where("kind = 'array'").select("doc", "path", F.explode(F.slice(F.try_variant_get("v", "$", "array<variant>"), 1, items)).alias("v"))
-        arrays = arrays.select("doc", F.concat("path", F.lit("[]")).alias("to"), F.col("path").alias("parent"), F.lit(None).cast("string").alias("key"), "v")
-        now = objects.unionByName(arrays).withColumnRenamed("to", "path")
-    return out
+    now = df.select(F.col(id_col).cast("string").alias("doc"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), doc.alias("v"), F.lit(True).alias("open"))
+    # every round turns each node of the last level into itself and its children: one plan without branches
+    for _ in range(depth):
+        dot = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
+        node = lambda path, key, v: F.struct(path.alias("path"), F.col("path").alias("parent"), key.alias("key"), v.alias("v"), F.lit(True).alias("open"))
+        fields = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: node(F.concat(dot, e["key"]), e["key"], e["value"]))  # noqa: B023
+        elements = F.transform(F.slice(F.try_variant_get("v", "$", "array<variant>"), 1, items), lambda x: node(F.concat("path", F.lit("[]")), F.lit(None).cast("string"), x))  # noqa: B023
+        kind = _kind(F.col("v"))
+        below = F.when(F.col("open") & (kind == "object"), fields).when(F.col("open") & (kind == "array"), elements)
+        itself = F.array(F.struct("path", "parent", "key", "v", F.lit(False).alias("open")))
+        now = now.select("doc", F.explode(F.concat(itself, F.coalesce(below, F.slice(itself, 1, 0)))).alias("n")).select("doc", "n.*")
+    typed = now.where("path <> ''").withColumn("kind", _kind(F.col("v")))
+    return typed.select("doc", "path", "parent", "key", "kind", F.when(F.col("kind").isin("string", "number", "bool"), F.try_variant_get("v", "$", "string")).alias("value"))
 
 
 def object_keys(nodes: DataFrame) -> DataFrame:
