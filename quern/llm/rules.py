@@ -93,6 +93,17 @@ def apply_policy(rows: DataFrame, policy: Policy = CURRENT, into: str = "kept")
     return rows.withColumn(into, policy.keeps(F.col("fail_bits")))
 
 
+def passing(docs: DataFrame, policy: Policy = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that a policy keeps.
+
+    A filter on the verdict would be pushed below the measurements, and every measurement that it uses
+    computed anew inside it. The row's number is of no other use than to stop that.
+    """
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id_col), F.col(text_col))
+    judged = apply_policy(ledger(rows, id_col, text_col, keep=["_row"]), policy, "_kept").select("_row", "_kept", F.monotonically_increasing_id().alias("_no"))
+    return judged.where(F.col("_kept") & (F.col("_no") >= 0)).select("_row.*")
+
+
 def ablation(rows: DataFrame, policies: Iterable[Policy] = (CURRENT,)) -> DataFrame:
     """For each policy and each of its rules: documents, kept, rejected by that rule alone, kept without it.
 
