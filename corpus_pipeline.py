@@ -7,7 +7,6 @@ Parquet; all but the last return the columns of the documents they got.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import contamination, mixing, rules, sharding, simhash
 from quern.llm.common import table, written
@@ -15,8 +14,7 @@ from quern.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy rejects go."""
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), "doc_id", "text")
-    return rules.apply_policy(rules.ledger(rows, keep=["_row"]), rules.CURRENT, "_kept").where("_kept").select("_row.*")
+    return rules.passing(docs, rules.CURRENT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
