@@ -61,7 +61,7 @@ def _placed(docs: DataFrame, keep: Sequence[str], id_col: str, text_col: str, so
     rows = docs.select(*keep, F.col(source_col).alias("_mix_source"), F.xxhash64(F.col(id_col), F.lit("mix")).alias("_mix_hash"), common.n_words(F.col(text_col)).alias("_mix_size"))
     rows = rows.withColumn("_mix_bucket", F.pmod(F.col("_mix_hash"), F.lit(buckets)).cast("int")).withColumn("_mix_null", F.col("_mix_source").isNull()).withColumn("_mix_key", F.coalesce("_mix_source", F.lit("")))
     cells = rows.groupBy("_mix_key", "_mix_null", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_cell"))
-    cells = common.written(cells.withColumn("_mix_source", F.when(~F.col("_mix_null"), F.col("_mix_key"))), 8)
+    cells = common.written(cells.withColumn("_mix_source", F.when(~F.col("_mix_null"), F.col("_mix_key"))))
     goals = targets(cells.groupBy("_mix_source").agg(F.sum("_mix_cell").alias("source_size")), weights, slopes, cap)
     goals = goals.withColumn("_mix_null", F.col("_mix_source").isNull()).withColumn("_mix_key", F.coalesce("_mix_source", F.lit(""))).drop("_mix_source")
     earlier = Window.partitionBy("_mix_key", "_mix_null").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,10 +91,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return rows.select(id_col, F.col("_mix_size").alias("size"), F.col("source_size").cast("long"), "target", taken.alias("taken"), F.when(_taken(0) > 0, _position(0)).alias("first_position"))
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
-    """The mix itself: whole documents, one row for each pass that takes at least half of the document, with
-    ``mix_position``, sorted by range of it. Documents without a word have no training position and are left out."""
-    rows = _placed(docs, [c for c in docs.columns], id_col, text_col, source_col, weights, slopes, cap, buckets)
-    passes = F.filter(F.transform(F.array(*(F.struct(_taken(j).alias("taken"), _position(j).alias("at")) for j in range(cap))), lambda x: x), lambda x: (x["taken"] > 0) & (2 * x["taken"] >= F.col("_mix_size")))
-    mixed = rows.select(*docs.columns, F.explode(passes).alias("_mix_pass")).select(*docs.columns, F.col("_mix_pass.at").alias("mix_position"))
-    return mixed.repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col)
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, cap: int = CAP, buckets: int = BUCKETS, position: str | None = "mix_position") -> DataFrame:
+    """The mix itself: whole documents, one row for each pass that takes at least half of the document, with the
+    column ``position`` (none if None), sorted by range of it. Documents without a word have no training position and are left out."""
+    # the input's columns travel in one struct, so that their names meet none of those made here
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_mix_row"), F.col(id_col).alias("_mix_id"), F.col(text_col).alias("_mix_text"), F.col(source_col).alias("_mix_from"))
+    rows = _placed(packed, ["_mix_row", "_mix_id"], "_mix_id", "_mix_text", "_mix_from", weights, slopes, cap, buckets)
+    passes = F.filter(F.array(*(F.struct(_taken(j).alias("taken"), _position(j).alias("at")) for j in range(cap))), lambda x: (x["taken"] > 0) & (2 * x["taken"] >= F.col("_mix_size")))
+    mixed = rows.select("_mix_row", "_mix_id", F.explode(passes).alias("_mix_pass")).select("_mix_row", "_mix_id", F.col("_mix_pass.at").alias("_mix_at"))
+    ordered = mixed.repartitionByRange("_mix_at", "_mix_id").sortWithinPartitions("_mix_at", "_mix_id")
+    return ordered.select("_mix_row.*", *([F.col("_mix_at").alias(position)] if position else []))

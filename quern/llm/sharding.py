@@ -12,7 +12,8 @@ and numbered inside the bucket, so no shard has to pass through one task.
 
 Defined cases: null text has no bytes (size 1) and the CRC of the empty string; null doc_id is hashed as
 a value of its own; repeated rows get slots of their own (of equal rows either may come first); an empty table gives
-no rows; further columns are carried only by ``assign``, internal names start with ``_shard_``.
+no rows; further columns are carried if asked for, and one that has the name of a column made here gets
+``input_`` before it; internal names start with ``_shard_``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 BUCKETS = 1024
+MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 @dataclass(frozen=True)
@@ -75,17 +77,26 @@ def shard_of(key: Column, leaves: Sequence[Leaf]) -> Column:
 
 def assign(docs: DataFrame, leaves: Sequence[Leaf], id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), more: Sequence[Leaf] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """id, ``carry``, size, text_crc32, law, shard, slot and, for the tree ``more``, grown_shard."""
-    kept = [F.col(c) for c in dict.fromkeys([id_col, *carry])]
+    carried = dict.fromkeys([id_col, *carry])
+    kept, names = [F.col(c) for c in carried], {c.lower() for c in [*carried, *MADE]}
+    out = []
+    for c in carried:
+        name = c
+        if c.lower() in MADE:
+            while name.lower() in names:
+                name = f"input_{name}"
+            names.add(name.lower())
+        out.append(F.col(c).alias(name))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         *kept, (F.octet_length(text) + 1).cast("long").alias("_shard_size"), F.crc32(text).alias("_shard_crc"), shard_of(F.col(id_col), leaves).alias("_shard_no"),
         (shard_of(F.col(id_col), more) if more else F.lit(None).cast("int")).alias("_shard_grown"), F.xxhash64(F.col(id_col), F.lit("slot")).alias("_shard_hash"),
     ).withColumn("_shard_bucket", F.pmod("_shard_hash", F.lit(buckets)).cast("int"))
     keys = ["_shard_no", "_shard_bucket"]
-    cells = common.written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_shard_n")), 8)
+    cells = common.written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_shard_n")))
     earlier = Window.partitionBy("_shard_no").orderBy("_shard_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*keys, F.coalesce(F.sum("_shard_n").over(earlier), F.lit(0)).alias("_shard_offset"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("_shard_hash", id_col, "_shard_crc", "_shard_size"))
     return rows.join(cells, keys).withColumn("_shard_slot", F.col("_shard_offset") + number - 1).select(
-        *kept, F.col("_shard_size").alias("size"), F.col("_shard_crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard_no").alias("shard"), F.col("_shard_slot").cast("long").alias("slot"), F.col("_shard_grown").alias("grown_shard"),
+        *out, F.col("_shard_size").alias("size"), F.col("_shard_crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard_no").alias("shard"), F.col("_shard_slot").cast("long").alias("slot"), F.col("_shard_grown").alias("grown_shard"),
     )

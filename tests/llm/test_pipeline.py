@@ -109,3 +109,19 @@ def test_rules_of_odd_texts(spark):
     assert got[None].n_repeat_words == brute.repeat_words("a b a b a b") == 6
     assert got[4].n_dup_lines == 1 and got[4].word_chars == 3
     assert rules.ablation(rules.ledger(docs.where("false"))).count() == 0
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark):
+    names = ["size", "Shard", "slot", "target", "source_size", "weight", "slope", "mix_position", "n_words", "kept", "fp", "component", "gram", "w", "h", "id"]
+    word = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, word(i, 60 + i), "a" if i % 2 else None) for i in range(12)] + [(3, word(3, 63), "a"), (None, word(50, 80), "b"), (77, None, "b"), (78, "", None)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.columns
+        docs = common.written(stage(spark, docs, SF))
+        assert k == 4 or docs.columns == before
+        if k == 0:
+            assert docs.count() == 14
+        if k == 1:
+            assert docs.count() == 13
+    assert {"input_size", "input_Shard", "input_slot", "size", "shard", "slot"} <= set(docs.columns) and docs.count()
