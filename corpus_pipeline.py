@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay, repeat or go as their source's target asks, in the order of the curriculum."""
-    return mixing.curriculum(docs).drop("mix_position")
+    return mixing.curriculum(docs, position=None)
 
 
 def sharding_to_tree(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
