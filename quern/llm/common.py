@@ -44,23 +44,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_scratch[app]}"
 
 
+#: With this, Spark removes an execution's shuffle files at its end; a table that is written needs them no longer.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cut lineage: df as a Parquet table in the shared folder, removed when the driver ends or by drop_written()."""
+    """Cut lineage: df as a Parquet table in the shared folder, removed by forget() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read again."""
+    for df in tables:
+        own = (df.sparkSession, df._quern_path)
+        _remove(*own)
+        _written.remove(own)
 
 
 @atexit.register
 def drop_written() -> None:
     """Remove the tables that written() made in this process. Call it once their readers are done."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(*_written.pop())
         except Exception:  # the session has ended; the folder's owner clears it
             pass

@@ -10,7 +10,9 @@ are one *run*, so a document of n units gives about 2 n / (width - gram + 2) row
 2. Runs of a shared gram whose whole content is equal form a class. The windows of a class repeat if the
    class has two coordinates.
 3. Only where one gram has several classes can windows of different classes be equal. One run of each
-   class is expanded into its windows there, and equal windows meet by (gram, window hash).
+   class is split there into pieces, by the place of the gram in the window, so that equal windows are in
+   pieces of equal number. A piece's key is its run's key and the stretch that all its windows share;
+   pieces are then treated like runs. The last pieces are single windows.
 
 All steps aggregate before they shuffle (least and greatest coordinate), so a passage that a third of
 all documents share is one row per task; no group is ever gathered. A coordinate is (document id, tie,
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import forget, written
 from quern.llm.contamination import mixed
 
 #: Windows worked on at a time; the scratch space is about ten arrays of so many longs.
@@ -79,8 +81,8 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def runs_of(values: np.ndarray, ends: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, windows, gram hash, content hash) of the runs in documents laid end to end; ends: where each document ends."""
+def runs_of(values: np.ndarray, ends: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, windows, gram's offset in the first window, gram hash, content hash) of the runs in documents laid end to end; ends: where each document ends."""
     span = width - gram + 1
     for low in range(0, len(values) - width + 1, CHUNK):
         own = values[low : low + CHUNK + width - 1]
@@ -96,12 +98,13 @@ def runs_of(values: np.ndarray, ends: np.ndarray, width: int, gram: int) -> Iter
         anchors = least[inside]
         cut = np.flatnonzero((anchors[1:] != anchors[:-1]) | (inside[1:] != inside[:-1] + 1)) + 1
         first, last = inside[np.r_[0, cut]], inside[np.r_[cut - 1, len(inside) - 1]]
-        yield first + low, last - first + 1, grams[anchors[np.r_[0, cut]]], hashed.of(first, last + width)
+        anchor = anchors[np.r_[0, cut]]
+        yield first + low, last - first + 1, anchor - first, grams[anchor], hashed.of(first, last + width)
 
 
 @dataclass(frozen=True)
 class Units:
-    """What a window is made of: values() gives the unit hashes of a batch of texts, and each text's units."""
+    """What a window is made of: values() gives the bytes or word hashes of a batch of texts, and each text's number of them."""
 
     kind: str
 
@@ -137,28 +140,44 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), tie.alias("tie"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("given"))
 
 
-RUN = "id bigint, tie bigint, start int, n int, gram bigint, content bigint"
+RUN = "id bigint, tie bigint, start int, n int, off int, key bigint, content bigint"
+NAMES = ["id", "tie", "start", "n", "off", "key", "content"]
 AT = "struct(id, tie, start)"
 
 
 def all_runs(rows: DataFrame, units: Units, width: int, gram: int) -> DataFrame:
+    """The runs of all documents, keyed by their gram."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ExactWords()
         for b in batches:
             values, sizes = units.values(b.column(2), known)
             ends = np.cumsum(sizes)
             ids, ties = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for start, n, g, content in runs_of(values, ends, width, gram):
+            for start, n, off, key, content in runs_of(values, ends, width, gram):
                 doc = np.searchsorted(ends, start, side="right")
                 at = start - (ends - sizes)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ties[doc]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(content.view(np.int64))], names=["id", "tie", "start", "n", "gram", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ties[doc]), *(pa.array(x.astype(np.int32)) for x in (at, n, off)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], names=NAMES)
 
     return rows.select("id", "tie", "text").mapInArrow(run, RUN)
 
 
-def expanded(rows: DataFrame, chosen: DataFrame, units: Units, width: int) -> DataFrame:
-    """(id, tie, start, gram, window) of each window of the chosen runs (id, tie, start, n, gram)."""
-    wanted = chosen.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "gram")).alias("runs"))  # of one document
+def pieces_of(start: np.ndarray, n: np.ndarray, off: np.ndarray, key: np.ndarray, hashed: Prefix, width: int, size: int) -> tuple[np.ndarray, ...]:
+    """Runs of one document split into pieces of at most ``size`` windows: start, n, off, key, content."""
+    low, high = (off - n + 1) // size, off // size
+    many = high - low + 1
+    run = np.repeat(np.arange(len(start)), many)
+    no = low[run] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    anchor = (start + off)[run]
+    first, last = np.minimum(off[run], no * size + size - 1), np.maximum((off - n + 1)[run], no * size)
+    shared = hashed.of(anchor - no * size, anchor - no * size - size + 1 + width)
+    content = hashed.of(anchor - first, anchor - last + width)
+    return anchor - first, first - last + 1, first, mixed(key.view(np.uint64)[run] * np.uint64(BASE) + shared + no.astype(np.uint64)), content
+
+
+def split(rows: DataFrame, chosen: DataFrame, units: Units, width: int, size: int) -> DataFrame:
+    """The pieces of the chosen runs (id, tie, start, n, off, key)."""
+    wanted = chosen.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "off", "key")).alias("runs"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ExactWords()
@@ -166,37 +185,42 @@ def expanded(rows: DataFrame, chosen: DataFrame, units: Units, width: int) -> Da
             for i in range(len(b)):
                 values, _ = units.values(b.column(2).slice(i, 1), known)
                 mine = b.column(3)[i].values
-                start, n, gram = (mine.field(k).to_numpy() for k in range(3))
-                at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-                window = Prefix(values).of(at, at + width)
-                same = lambda x, k: pa.array(np.full(k, x, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([same(b.column(0)[i].as_py(), len(at)), same(b.column(1)[i].as_py(), len(at)), pa.array(at.astype(np.int32)), pa.array(np.repeat(gram, n)), pa.array(window.view(np.int64))], names=["id", "tie", "start", "gram", "window"])
+                start, n, off, key = (mine.field(k).to_numpy().astype(np.int64) for k in range(4))
+                *small, new, content = pieces_of(start, n, off, key, Prefix(values), width, size)
+                same = lambda x: pa.array(np.full(len(new), x, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(b.column(0)[i].as_py()), same(b.column(1)[i].as_py()), *(pa.array(x.astype(np.int32)) for x in small), pa.array(new.view(np.int64)), pa.array(content.view(np.int64))], names=NAMES)
 
-    with_text = rows.select("id", "tie", "text")
-    return with_text.join(wanted, ["id", "tie"]).mapInArrow(run, "id bigint, tie bigint, start int, gram bigint, window bigint")
+    return rows.select("id", "tie", "text").join(wanted, ["id", "tie"]).mapInArrow(run, RUN)
 
 
-def repeated(rows: DataFrame, units: Units, width: int, gram: int, first_stays: bool) -> DataFrame:
+def repeated(rows: DataFrame, units: Units, width: int, gram: int, first_stays: bool, pieces: tuple[int, ...] = (1,)) -> DataFrame:
     """(id, tie, start, n): runs of n windows that occur elsewhere too, or, if first_stays, earlier.
 
-    rows: from keyed(). "Earlier" is in order of coordinates.
+    rows: from keyed(). "Earlier" is in order of coordinates. pieces: the sizes of pieces, falling to 1.
     """
-    runs = written(all_runs(rows, units, width, gram))
-    by_gram = runs.groupBy("gram").agg(F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last"), F.expr("min(content) <> max(content)").alias("several"))
-    shared = written(by_gram.where("first <> last").select("gram", "first", "several"))
     later = F.expr(f"{AT} <> first") if first_stays else F.lit(True)
-    met = runs.join(shared, "gram")
-    plain = met.where(~F.col("several") & later).select("id", "tie", "start", "n")
-    mixed_runs = written(met.where("several").drop("first", "several"))
-    classes = mixed_runs.groupBy("gram", "content").agg(F.expr("min(struct(id, tie, start, n))").alias("one"), F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last"))
-    classes = written(classes)
-    repeats = classes.where("first <> last").select("gram", "content", "first")
-    whole = mixed_runs.join(repeats, ["gram", "content"]).where(later).select("id", "tie", "start", "n")
-    windows = written(expanded(rows, classes.select("one.*", "gram"), units, width))
-    # rows that repeat a document give its windows again, at the same coordinates
-    met_again = written(windows.groupBy("gram", "window").agg(F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last")).where("first <> last").drop("last"))
-    single = windows.join(met_again, ["gram", "window"]).where(later).select("id", "tie", "start", F.lit(1).alias("n"))
-    return plain.unionByName(whole).unionByName(single)
+    found: list[DataFrame] = []
+    runs = written(all_runs(rows, units, width, gram))
+    for size in pieces:
+        by_key = runs.groupBy("key").agg(F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last"), F.expr("min(content) <> max(content)").alias("several"))
+        shared = written(by_key.where("first <> last").select("key", "first", "several"))
+        met = written(runs.join(shared, "key"))
+        forget(runs, shared)
+        found.append(met.where(~F.col("several") & later).select("id", "tie", "start", "n"))
+        mixed_runs = met.where("several").drop("first", "several")
+        classes = mixed_runs.groupBy("key", "content").agg(F.expr("min(struct(id, tie, start, n, off))").alias("one"), F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last"))
+        classes = written(classes)
+        repeats = classes.where("first <> last").select("key", "content", "first")
+        found.append(written(mixed_runs.join(repeats, ["key", "content"]).where(later).select("id", "tie", "start", "n")))
+        runs = written(split(rows, classes.select("one.*", "key"), units, width, size))
+        forget(classes)
+    single = written(runs.groupBy("key", "content").agg(F.expr(f"min({AT})").alias("first"), F.expr(f"max({AT})").alias("last")).where("first <> last").drop("last"))
+    found.append(written(runs.join(single, ["key", "content"]).where(later).select("id", "tie", "start", "n")))
+    forget(runs, single)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def covered(size: int, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:

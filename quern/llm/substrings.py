@@ -4,8 +4,9 @@ Prefix doubling ranks all suffixes by a growing prefix, sorting pairs of ranks,
 once they are unique. Over every byte of a corpus that is a row of 16 bytes and more for each byte, a
 multiple of the input on disk in every round. So suffixes travel in runs (see ``runs``): the first rank
 of a suffix is its run's gram of GRAM bytes; unique ranks leave. What stays is reranked by pairs (rank
-so far, content up to the run's end), and where such pairs still differ inside a rank, by pairs (rank
-so far, content up to the threshold of WIDTH bytes) for each suffix alone.
+so far, stretch shared at the next length): runs are cut into pieces of 16 suffixes, known to agree on
+WIDTH - 15 bytes, and these into single ones, known to agree on all WIDTH. In each round pairs whose
+whole content agrees are settled as repeated, and unique pairs as not, so few go on to the next.
 
 Defined cases: null and empty texts have no bytes and keep none; texts under the threshold lose nothing;
 null ids rank as least; rows that share an id and have different texts are documents of their own, and
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 
 from quern.llm import runs
 
-WIDTH, GRAM = 200, 40
+WIDTH, GRAM, PIECES = 200, 40, (16, 1)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(id, text, spans): the starts of repeated strings of ``width`` bytes in each document, in runs."""
     rows = runs.keyed(docs, id_col, text_col)
-    found = runs.repeated(rows, runs.Units("bytes"), width, gram, first_stays=False)
+    found = runs.repeated(rows, runs.Units("bytes"), width, gram, first_stays=False, pieces=PIECES)
     return runs.with_spans(rows, found)
 
 
