@@ -37,7 +37,7 @@ from quern.llm.common import forget, written
 from quern.llm.contamination import mixed
 
 #: Windows worked on at a time; the scratch space is about ten arrays of so many longs.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 LOW = np.uint64((1 << 24) - 1)
@@ -81,11 +81,18 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+def unit_hashes(values: np.ndarray) -> np.ndarray:
+    """Bytes become random 64-bit values only where they are used, an eighth of the memory; words are hashes already."""
+    if values.dtype != np.uint8:
+        return values
+    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[values]
+
+
 def runs_of(values: np.ndarray, ends: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(start, windows, gram's offset in the first window, gram hash, content hash) of the runs in documents laid end to end; ends: where each document ends."""
     span = width - gram + 1
     for low in range(0, len(values) - width + 1, CHUNK):
-        own = values[low : low + CHUNK + width - 1]
+        own = unit_hashes(values[low : low + CHUNK + width - 1])
         hashed = Prefix(own)
         grams = hashed.every(gram)
         place = np.arange(len(grams), dtype=np.uint64)
@@ -113,8 +120,7 @@ class Units:
             bare = texts.fill_null(b"")
             offsets = np.frombuffer(bare.buffers()[1], dtype=np.int32 if pa.types.is_binary(bare.type) else np.int64)[bare.offset : bare.offset + len(bare) + 1]
             data = np.frombuffer(bare.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-            return table[data], np.diff(offsets).astype(np.int64)
+            return data, np.diff(offsets).astype(np.int64)
         out, sizes = [], []
         for t in texts:
             words = (t.as_py() or b"").split()
@@ -186,7 +192,7 @@ def split(rows: DataFrame, chosen: DataFrame, units: Units, width: int, size: in
                 values, _ = units.values(b.column(2).slice(i, 1), known)
                 mine = b.column(3)[i].values
                 start, n, off, key = (mine.field(k).to_numpy().astype(np.int64) for k in range(4))
-                *small, new, content = pieces_of(start, n, off, key, Prefix(values), width, size)
+                *small, new, content = pieces_of(start, n, off, key, Prefix(unit_hashes(values)), width, size)
                 same = lambda x: pa.array(np.full(len(new), x, dtype=np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([same(b.column(0)[i].as_py()), same(b.column(1)[i].as_py()), *(pa.array(x.astype(np.int32)) for x in small), pa.array(new.view(np.int64)), pa.array(content.view(np.int64))], names=NAMES)
 
