@@ -421,7 +421,8 @@ def _graph_lookup(s: State, spec: dict[str, Any]) -> State:
     scope = E.root(foreign.schema)
     to, frm = E.path(scope, spec["connectToField"]), E.path(scope, spec["connectFromField"])
     nodes = foreign.select(to.col.alias("__to"), (frm.col if isinstance(frm.type, T.ArrayType) else F.array(frm.col)).alias("__next"), F.struct(*map(name, foreign.columns)).alias("__doc"))
-    base = s.df.withColumn("__row", F.monotonically_increasing_id())
+    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    base = keep(s.df.withColumn("__row", F.monotonically_increasing_id()))  # rows must not be numbered again in another order
     start = E.compile(spec["startWith"], s.scope)
     wave = base.select("__row", F.explode(start.col if isinstance(start.type, T.ArrayType) else F.array(start.col)).alias("__key")).where("__key is not null").distinct()
     seen, depth, most = None, 0, spec.get("maxDepth")
@@ -429,7 +430,7 @@ def _graph_lookup(s: State, spec: dict[str, Any]) -> State:
         hit = wave.join(nodes, F.col("__key") == F.col("__to")).select("__row", "__to", "__next", "__doc", F.lit(depth).cast("long").alias("__depth"))
         if seen is not None:
             hit = hit.join(seen.select("__row", "__to").distinct(), ["__row", "__to"], "left_anti")
-        hit = hit.checkpoint() if s.df.sparkSession.sparkContext.getCheckpointDir() else hit.cache()
+        hit = keep(hit)
         if hit.isEmpty():
             break
         seen = hit if seen is None else seen.unionByName(hit)
