@@ -1,7 +1,7 @@
 """Schema induction: paths, types, free keys and stored values of documents.
 
 A document is read as JSON. Objects and arrays are opened as VARIANT entries, one Spark expression for
-each level to ``DEPTH``, and everything that is
+each level: to ``DEPTH`` and ``ITEMS`` of each array for the lattice of ``induce``, all of them for audits and value indexes. Everything that is
 then known about a path is an aggregate over (path, document), so a collection of any size is induced
 without gathering documents anywhere. Only the finished index, one entry for each path, reaches the driver.
 """
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEPTH, ITEMS = 7, 8
 # What keys look like that are data and not names.
@@ -30,22 +31,65 @@ def _kind(v: Column) -> Column:
     return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "bool").when(s == "VOID", "null").otherwise("number")
 
 
-def walk(df: DataFrame, id_col: str = "_id", depth: int = DEPTH, items: int = ITEMS) -> DataFrame:
-    """(doc, path, parent, key, kind, value): one row for every node of every document; array elements go by ``[]``."""
+def levels(t: T.DataType) -> int | None:
+    """Levels of nodes below a type; None if values of it may have any number."""
+    if isinstance(t, T.VariantType):
+        return None
+    below = [f.dataType for f in t.fields] if isinstance(t, T.StructType) else [t.valueType] if isinstance(t, T.MapType) else [t.elementType] if isinstance(t, T.ArrayType) else None
+    if below is None:
+        return 0
+    deep = [levels(x) for x in below]
+    return None if None in deep else 1 + max(deep, default=0)
+
+
+def walk(df: DataFrame, id_col: str = "_id", depth: int | None = None, items: int | None = None) -> DataFrame:
+    """(doc, path, parent, key, kind, value, level, size): one row for every node of every document; array elements go by ``[]``.
+
+    All levels and all elements, unless depth or items is given; size is the length of an array, whatever items is.
+    """
+    nodes = _nodes(df, id_col, depth, items)
+    return nodes.drop("form", "shape")
+
+
+def _nodes(df: DataFrame, id_col: str, depth: int | None, items: int | None) -> DataFrame:
+    """walk() with form, the path in which each map's keys are ``<*>``, and shape, what is passed on the way: o object or field, k key of a map, a array."""
+    if depth is None and (depth := levels(df.schema)) is None:
+        depth = 16
+        while not _nodes(df, id_col, depth, items).where(f"level = {depth} and kind in ('object', 'array')").isEmpty():
+            depth *= 2
     doc = F.parse_json(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
-    now = df.select(F.col(id_col).cast("string").alias("doc"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), doc.alias("v"), F.lit(True).alias("open"))
+    none = F.lit(None).cast("string")
+    now = df.select(F.col(id_col).cast("string").alias("doc"), F.lit("").alias("path"), none.alias("parent"), none.alias("key"), doc.alias("v"), F.lit(True).alias("open"), F.lit(0).alias("level"), F.lit("").alias("form"), F.lit("o").alias("shape"))
     # every round turns each node of the last level into itself and its children: one plan without branches
     for _ in range(depth):
-        dot = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
-        node = lambda path, key, v: F.struct(path.alias("path"), F.col("path").alias("parent"), key.alias("key"), v.alias("v"), F.lit(True).alias("open"))
-        fields = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: node(F.concat(dot, e["key"]), e["key"], e["value"]))  # noqa: B023
-        elements = F.transform(F.slice(F.try_variant_get("v", "$", "array<variant>"), 1, items), lambda x: node(F.concat("path", F.lit("[]")), F.lit(None).cast("string"), x))  # noqa: B023
+        now = now.withColumn("map", F.when(F.col("open"), _is_map(F.col("key"), F.try_variant_get("v", "$", "map<string,variant>"))))
+        below_ = lambda c: F.when(F.col(c) == "", F.lit("")).otherwise(F.concat(c, F.lit(".")))
+        node = lambda path, key, v, form, shape: F.struct(path.alias("path"), F.col("path").alias("parent"), key.alias("key"), v.alias("v"), F.lit(True).alias("open"), (F.col("level") + 1).alias("level"), form.alias("form"), F.concat("shape", shape).alias("shape"))
+        fields = F.transform(
+            F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")),
+            lambda e: node(F.concat(below_("path"), e["key"]), e["key"], e["value"], F.concat(below_("form"), F.when(F.col("map"), "<*>").otherwise(e["key"])), F.when(F.col("map"), "k").otherwise("o")),  # noqa: B023
+        )
+        array = F.try_variant_get("v", "$", "array<variant>")
+        elements = F.transform(
+            F.slice(array, 1, items) if items is not None else array,
+            lambda x: node(F.concat("path", F.lit("[]")), none, x, F.concat("form", F.lit("[]")), F.when(_kind(x) == "object", "ao").otherwise("a")),  # noqa: B023
+        )
         kind = _kind(F.col("v"))
         below = F.when(F.col("open") & (kind == "object"), fields).when(F.col("open") & (kind == "array"), elements)
-        itself = F.array(F.struct("path", "parent", "key", "v", F.lit(False).alias("open")))
+        itself = F.array(F.struct("path", "parent", "key", "v", F.lit(False).alias("open"), "level", "form", "shape"))
         now = now.select("doc", F.explode(F.concat(itself, F.coalesce(below, F.slice(itself, 1, 0)))).alias("n")).select("doc", "n.*")
     typed = now.where("path <> ''").withColumn("kind", _kind(F.col("v")))
-    return typed.select("doc", "path", "parent", "key", "kind", F.when(F.col("kind").isin("string", "number", "bool"), F.try_variant_get("v", "$", "string")).alias("value"))
+    return typed.select(
+        "doc", "path", "parent", "key", "kind", F.when(F.col("kind").isin("string", "number", "bool"), F.try_variant_get("v", "$", "string")).alias("value"), "level",
+        F.when(F.col("kind") == "array", F.size(F.try_variant_get("v", "$", "array<variant>"))).alias("size"), "form", "shape",
+    )
+
+
+def _is_map(leaf: Column, fields: Column) -> Column:
+    """Are the keys of this one object data? By the audit's rule: by its name, or if there are two and all look like data."""
+    leaf, keys = F.coalesce(leaf, F.lit("")), F.map_keys(fields)
+    data = lambda k: k.rlike(r"^\d+$| ") | (k.rlike(r"\d") & k.rlike("[-/:]")) | ((F.length(k) >= 24) & k.contains("-"))
+    return F.coalesce((F.size(keys) > 0) & ~leaf.startswith("_") & (leaf.rlike(NAMED_MAP) | ((F.size(keys) >= 2) & F.forall(keys, data))), F.lit(False))
 
 
 def object_keys(nodes: DataFrame) -> DataFrame:
@@ -127,7 +171,7 @@ class Index:
 
 
 def induce(df: DataFrame, collection: str, rules: str = "default", id_col: str = "_id") -> Index:
-    nodes = walk(df, id_col)
+    nodes = walk(df, id_col, DEPTH, ITEMS)
     dynamic = dynamic_paths(nodes, rules)
     counts = collapse(nodes, dynamic).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")).collect()
     index = Index(collection, dynamic=dynamic)
@@ -169,16 +213,18 @@ def witnesses(index: DataFrame, named: list[str], most: int = 6) -> dict[str, li
 
 
 def audit(df: DataFrame, id_col: str = "_id") -> dict:
-    """Depth, maps by the audit's rule, array lengths, presence of each top field, and whether the structure is rich enough."""
-    nodes = walk(df, id_col).cache()
+    """Depth, maps by the audit's rule, (least, most, average) array lengths and presence of each top field, over all levels and elements.
+
+    rich says only that there are four levels, a map and an array.
+    """
+    nodes = _nodes(df, id_col, None, None).cache()
     n = df.count()
     dynamic = dynamic_paths(nodes, "audit")
-    depth = nodes.agg(F.max(F.size(F.split(F.replace("path", F.lit("[]"), F.lit(".[]")), r"\.")))).first()[0] or 0
-    lengths = nodes.where("path like '%[]'").groupBy("doc", "parent").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.min("n"), F.max("n"), F.avg("n")).collect()
+    depth = nodes.agg(F.max("level")).first()[0] or 0
+    lengths = nodes.where("kind = 'array'").groupBy("form").agg(F.min("size"), F.max("size"), F.avg("size")).collect()
     present = nodes.where("parent = '' and kind <> 'null'").groupBy("key").agg(F.countDistinct("doc").alias("n")).collect()
-    arrays = [p for p in [r.parent for r in lengths] if any(p.startswith(d) for d in dynamic)]
     nodes.unpersist()
     return {
         "documents": n, "depth": depth, "dynamic": dynamic, "arrays": {r[0]: tuple(r[1:]) for r in lengths}, "presence": {r.key: r.n / n if n else 0.0 for r in present},
-        "rich": depth >= 4 and bool(dynamic) and bool(arrays or lengths),
+        "rich": depth >= 4 and bool(dynamic) and bool(lengths),
     }

@@ -35,6 +35,23 @@ def test_induction(docs):
     assert report["documents"] == 12 and report["depth"] == 4 and report["presence"]["book"] == 1.0 and report["rich"]
 
 
+@pytest.fixture(scope="module")
+def large(spark):
+    """Arrays of over 8 and over 50 elements, with a value and a map in the last ones, and eight levels."""
+    deep = "struct<b:struct<c:struct<d:struct<e:struct<f:struct<g:struct<h:int>>>>>>>"
+    rows = [("d:1", [("v%d" % i, {"2014-01": i, "2014-02": i} if i == 59 else None, [1] * (i % 3)) for i in range(60)], (((((((1,),),),),),),)), ("d:2", [("last", None, [])], None), ("d:3", [], None), ("d:4", None, None)]
+    return spark.createDataFrame(rows, f"_id string, ev array<struct<name:string,by_day:map<string,int>,own:array<int>>>, a {deep}")
+
+
+def test_audit_of_all_levels_and_elements(large):
+    report = induce.audit(large)
+    assert report["arrays"]["ev"] == (0, 60, 61 / 3) and report["arrays"]["ev[].own"] == (0, 2, 60 / 61)
+    assert report["depth"] == 8 and "ev[].by_day" in report["dynamic"] and report["presence"]["ev"] == 0.75
+    free = large.select("_id", F.parse_json(F.lit("[" * 20 + "1" + "]" * 20)).alias("x"))
+    assert induce.audit(free)["depth"] == 21
+    assert not any(p.count(".") >= 7 for p in induce.induce(large, "c").types)
+
+
 def test_gates(docs):
     index = induce.induce(docs, "c")
     _, good = parse("db.c.aggregate([{$addFields: {e: {$objectToArray: '$book.by_month'}}}, {$unwind: '$e'}, {$match: {'e.v.n': {$gt: 2}}}, {$group: {_id: '$e.k', n: {$sum: 1}}}, {$sort: {n: -1}}])")
