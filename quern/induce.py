@@ -185,7 +185,10 @@ def normal(c: Column) -> Column:
 
 
 def value_index(nodes: DataFrame, collection: str, dynamic: list[str], places: int = 20) -> DataFrame:
-    """(norm, collection, path, kind, form): where a value is stored, strings of 2 to 60 characters and keys that are data."""
+    """(norm, collection, path, kind, form): where a value is stored, strings of 2 to 60 characters and keys that are data.
+
+    nodes has to be a walk() without limits: a value left out of it counts as stored nowhere.
+    """
     own = collapse(nodes, dynamic)
     values = own.where("kind = 'string' and length(value) between 2 and 60").select("path", F.lit("value").alias("kind"), F.col("value").alias("form"))
     keys = own.where("path like '%<*>' and key is not null").select("path", F.lit("key").alias("kind"), F.col("key").alias("form"))

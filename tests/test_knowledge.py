@@ -52,6 +52,12 @@ def test_audit_of_all_levels_and_elements(large):
     assert not any(p.count(".") >= 7 for p in induce.induce(large, "c").types)
 
 
+def test_values_of_all_elements(large):
+    values = induce.value_index(induce.walk(large), "c", [])
+    found = induce.witnesses(values, ["v7", "v8", "v59", "v60"])
+    assert [len(found[x]) for x in ("v7", "v8", "v59", "v60")] == [1, 1, 1, 0]
+
+
 def test_gates(docs):
     index = induce.induce(docs, "c")
     _, good = parse("db.c.aggregate([{$addFields: {e: {$objectToArray: '$book.by_month'}}}, {$unwind: '$e'}, {$match: {'e.v.n': {$gt: 2}}}, {$group: {_id: '$e.k', n: {$sum: 1}}}, {$sort: {n: -1}}])")
