@@ -23,10 +23,17 @@ from pyspark.sql import DataFrame
 from quern.llm.mincut import least_cut
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript svg math select button iframe object textarea canvas audio video datalist title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+SILENT = frozenset("head script style template noscript svg select button iframe object textarea canvas audio video datalist title annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr br".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr maction menclose mglyph semantics annotation annotation-xml".split()
+)
 #: A start tag ends an open element of these kinds, looked for up to the next element that is not inline.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Start tags that may stand in a head; any other, and text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+#: In these, other languages are spoken: a tag can close itself. HTML is spoken again in POINTS, and from a tag of BACK on, which ends them.
+FOREIGN, POINTS = frozenset(("svg", "math")), frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BACK = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 PART = re.compile(r"[a-z]+|\d+")
 
 #: Elements and class or id words that speak against content; comments and the elements hold whatever is inside.
@@ -60,6 +67,7 @@ class Open:
     bad: float
     hard: bool
     silent: bool
+    foreign: bool
 
 
 class Blocks(HTMLParser):
@@ -70,7 +78,7 @@ class Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.in_links = self.links = self.made = 0
-        self.stack = [Open("", 0, 0.0, 0.0, False, False)]
+        self.stack = [Open("", 0, 0.0, 0.0, False, False, False)]
 
     def flush(self) -> None:
         if self.parts:
@@ -89,11 +97,24 @@ class Blocks(HTMLParser):
         self.links -= sum(x.tag == "a" for x in self.stack[k:])
         del self.stack[k:]
 
+    def end_silent(self, tag: str) -> None:
+        """Ends the head or the foreign elements that a start tag can't stand in."""
+        tags = [x.tag for x in self.stack]
+        if "head" in tags and (tags[-1] == "head" and tag not in IN_HEAD or tag == "body" and "template" not in tags):
+            self.pop_to(tags.index("head"))
+        elif self.stack[-1].foreign and tag in BACK:
+            k = len(self.stack)
+            while self.stack[k - 1].foreign:
+                k -= 1
+            self.pop_to(k)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.stack[-1].silent or self.stack[-1].foreign:
+            self.end_silent(tag)
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag not in INLINE:
+        if tag not in INLINE and not self.stack[-1].foreign:
             self.flush()
             ends = (*ENDS.get(tag, ()), "p")
             for k in range(len(self.stack) - 1, 0, -1):
@@ -120,14 +141,20 @@ class Blocks(HTMLParser):
             elif not (bad and support < 3):
                 good = max(good, support)
         self.made += 1
-        self.stack.append(Open(tag, self.made, good, bad, hard, silent))
+        self.stack.append(Open(tag, self.made, good, bad, hard, silent, tag in FOREIGN or (up.foreign and tag not in POINTS)))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # as browsers do: only void elements end here
+        if tag in FOREIGN or self.stack[-1].foreign and tag not in BACK:
+            self.handle_starttag(tag, attrs)
+            if self.stack[-1].tag == tag:
+                self.handle_endtag(tag)
+        else:
+            self.handle_starttag(tag, attrs)  # as browsers do: other elements end here only if they are void
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        inner = next((tag in FOREIGN or self.stack[k - 1].foreign for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == tag), False)
+        if tag not in INLINE and not inner:
             self.flush()
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
@@ -137,6 +164,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and data.strip():
+            self.pop_to(len(self.stack) - 1)
         if not self.stack[-1].silent:
             self.parts.append(data)
             if self.links:

@@ -41,6 +41,29 @@ def test_pages_without_an_article():
     assert htmltext.main_text("<article>" + "<p>" + "x " * 200_000) == " ".join(["x"] * 200_000)
 
 
+def test_head_without_end_tag():
+    body = BODY.strip()
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>No</title><style>p{}</style><noscript><img src=x></noscript><script>x</script>"
+    for start in ("<body>", "", "<body><div>", "<div>", "<main>"):
+        assert htmltext.main_text(f"{head}\n{start}<article><p>{BODY}</p></article>") == body
+    assert htmltext.main_text(f"{head} {BODY}") == body
+    assert htmltext.main_text(f"{head}<noscript><link><body><p>{BODY}</p>") == body
+    assert htmltext.main_text(f"{head}<template><p>No</p></template><link></head><body><p>{BODY}</p>") == body
+
+
+def test_svg_and_math():
+    body = BODY.strip()
+    page = lambda x: htmltext.main_text(f"<html><body><article><p>{BODY}</p>{x}<p>{BODY}</p></article></body></html>")
+    for x in ("<svg/>", "<svg class=icon />", "<math/>", "<svg><title>No</title><path d=x /><g/></svg>", "<svg><path>", "<div><svg/></div>", "<svg><g><foreignObject><div/>No</foreignObject></g></svg>", "<svg><style/></svg>"):
+        assert page(x) == f"{body}\n\n{body}", x
+    assert page("<div><svg/>After it.</div>") == f"{body}\n\nAfter it.\n\n{body}"
+    for x in ("<svg/>", "<svg><title>No</title><g><path d=x /></g></svg>"):
+        assert page(f"<p>One {x} line.</p>") == f"{body}\n\nOne line.\n\n{body}"
+    formula = "<math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mspace/><mo>=</mo><mn>4</mn></mrow><annotation encoding=TeX>x^2=4</annotation></semantics></math>"
+    assert page(f"<p>Let {formula} hold.</p>") == f"{body}\n\nLet x2=4 hold.\n\n{body}"
+    assert page("<p>Or <math><mi>y</p>") == f"{body}\n\nOr y\n\n{body}"
+
+
 def test_table(spark):
     rows = [(1, "u", "<article><p>Hé</p></article>", "n"), (None, None, None, None), (1, "u", "<article><p>Hé</p></article>", "n")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
