@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from heapq import heapify, heappop, heappush
 from string import punctuation
 
 import numpy as np
@@ -130,28 +131,52 @@ class Scanner:
                         best[k] = share
         return sorted(((v, k) for k, v in best.items()), key=lambda x: (-x[0], x[1]))
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(license, saved share, template words, different words, block's offset), one for each license.
+    def stated(self, words: list[str]) -> Iterator[tuple[float, int, str, float, int]]:
+        """(share of different words, -template words, license, saved share, different words) of each stretch of a block that states a license.
 
-        Of confirmed templates whose stretches of a block overlap, the closest wins, then the longest.
+        Of templates whose stretches overlap, the closest wins, then the longest. The winner and those that lose are
+        aligned again on what is left of the block, until no stretch there is close enough.
         """
+        free: list[tuple[int, int]] = [(0, len(words))]
+        has: dict[tuple[int, int], Counter] = {}
+        found: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+
+        def closest(share: float, k: int) -> list[tuple]:
+            name, template, need, *_ = self.own[k]
+            most, places = int(DIFFERENT * len(template)), []
+            for low, high in free:
+                if high - low < len(template) - most:
+                    continue
+                if (k, low, high) not in found:
+                    if (low, high) not in has:
+                        has[low, high] = Counter(words[low:high])
+                    n, start, end = len(template), 0, 0
+                    if sum((need - has[low, high]).values()) <= most:  # words that aren't there are different at least
+                        n, start, end = aligned(template, words[low:high])
+                    found[k, low, high] = (n, low + start, low + end)
+                if found[k, low, high][0] <= most:
+                    places.append(found[k, low, high])
+            return [(at[0] / len(template), -len(template), name, share, *at, k) for at in sorted(places)[:1]]
+
+        heap = [x for share, k in self.ranked(words) for x in closest(share, k)]
+        heapify(heap)
+        while heap:
+            *stretch, start, end, k = heappop(heap)
+            for i, (low, high) in enumerate(free):
+                if low <= start and end <= high:
+                    free[i : i + 1] = [x for x in ((low, start), (end, high)) if x[0] < x[1]]
+                    yield tuple(stretch)
+                    break
+            for x in closest(stretch[3], k):
+                heappush(heap, x)
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
+        """(license, saved share, template words, different words, block's offset), one for each license."""
         best: dict[str, tuple[float, int, int, int]] = {}
         for offset, block in blocks(text, self.cue):
-            words, confirmed = bare(block), []
-            has = Counter(words)
-            for share, k in self.ranked(words):
-                name, template, need, *_ = self.own[k]
-                most = int(DIFFERENT * len(template))
-                if sum((need - has).values()) <= most:  # words that aren't there are different at least
-                    n, start, end = aligned(template, words)
-                    if n <= most:
-                        confirmed.append((n / len(template), -len(template), name, share, n, start, end))
-            taken: list[tuple[int, int]] = []
-            for ratio, minus, name, share, n, start, end in sorted(confirmed):
-                if all(end <= low or high <= start for low, high in taken):
-                    taken.append((start, end))
-                    if name not in best or (ratio, minus, offset) < (best[name][2] / best[name][1], -best[name][1], best[name][3]):
-                        best[name] = (round(share, 4), -minus, n, offset)
+            for ratio, minus, name, share, n in self.stated(bare(block)):
+                if name not in best or (ratio, minus, offset) < (best[name][2] / best[name][1], -best[name][1], best[name][3]):
+                    best[name] = (round(share, 4), -minus, n, offset)
         return [(k, *v) for k, v in sorted(best.items())]
 
 

@@ -48,3 +48,16 @@ def test_licenses_by_wording(spark):
     assert got.pop((1, "Apache-2.0")) <= 1
     assert got == {(6, "CC-BY-SA-4.0"): 0, (6, "MIT"): 0, (None, "CC-BY-4.0"): 0, (7, "Apache-2.0"): 0, (8, "MIT"): 0}
     assert licenses.scan(docs.where("false")).count() == 0
+
+
+def test_several_licenses_in_changed_wording():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda *texts: {x[0]: x[3] for x in scanner.scan(" Some words in between. ".join(texts))}
+    line = lambda name, version="4.0", a="a": f"This work is licensed under {a} Creative Commons {name} {version} International License."
+    by, sa, nc = "Attribution", "Attribution-ShareAlike", "Attribution-NonCommercial"
+    assert found(line(by), line(sa, a="the")) == {"CC-BY-4.0": 0, "CC-BY-SA-4.0": 1}
+    assert found(line(sa, a="the"), line(by)) == {"CC-BY-4.0": 0, "CC-BY-SA-4.0": 1}
+    assert found(line(by), line(sa, a="the"), line(nc, a="the"), line(by, "3.0", "the")) == {"CC-BY-4.0": 0, "CC-BY-SA-4.0": 1, "CC-BY-NC-4.0": 1, "CC-BY-3.0": 1}
+    # a license that is stated again leaves no place to those that are like it
+    assert found(*[line(by)] * 5) == {"CC-BY-4.0": 0}
+    assert found(line(by), line(by, a="the"), line(by)) == {"CC-BY-4.0": 0}
