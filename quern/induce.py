@@ -216,9 +216,9 @@ def witnesses(index: DataFrame, named: list[str], most: int = 6) -> dict[str, li
 
 
 def audit(df: DataFrame, id_col: str = "_id") -> dict:
-    """Depth, maps by the audit's rule, (least, most, average) array lengths and presence of each top field, over all levels and elements.
+    """Depth, maps by the audit's rule, (least, most, average) array lengths, presence of each top field, shapes and presence states, over all levels and elements.
 
-    rich says only that there are four levels, a map and an array.
+    rich says only that there are four levels, a map and an array; gate() asks for more.
     """
     nodes = _nodes(df, id_col, None, None).cache()
     n = df.count()
@@ -226,8 +226,24 @@ def audit(df: DataFrame, id_col: str = "_id") -> dict:
     depth = nodes.agg(F.max("level")).first()[0] or 0
     lengths = nodes.where("kind = 'array'").groupBy("form").agg(F.min("size"), F.max("size"), F.avg("size")).collect()
     present = nodes.where("parent = '' and kind <> 'null'").groupBy("key").agg(F.countDistinct("doc").alias("n")).collect()
+    shapes = {k: sorted(r.form for r in nodes.where(cond).select("form").distinct().collect()) for k, cond in SHAPES.items()}
+    states = nodes.where("key is not null and kind = 'string'").groupBy(F.lower("value").alias("state")).count().where(F.col("state").isin(*STATES)).collect()
     nodes.unpersist()
     return {
         "documents": n, "depth": depth, "dynamic": dynamic, "arrays": {r[0]: tuple(r[1:]) for r in lengths}, "presence": {r.key: r.n / n if n else 0.0 for r in present},
-        "rich": depth >= 4 and bool(dynamic) and bool(lengths),
+        "rich": depth >= 4 and bool(dynamic) and bool(lengths), "shapes": shapes, "states": {r.state: r["count"] for r in states},
     }
+
+
+#: Name -> nodes that complete a shape, over what _nodes() passes on the way: a map of arrays of objects, and an array of objects that hold a map.
+SHAPES = {"key_array_object": "shape rlike 'o.*k.*a.*o' and (key is null or shape like '%k')", "array_object_key": "shape rlike 'a.*o.*k' and shape like '%k'"}
+STATES = ("present", "missing", "empty", "null")
+
+
+def gate(*reports: dict, least: int = 4) -> list[str]:
+    """What the collections of a database, by their audits, lack of native structure; nothing if they pass."""
+    depth = max((r["depth"] for r in reports), default=0)
+    has = lambda k, *names: any(r[k].get(x) for r in reports for x in names)
+    out = [] if depth >= least else [f"depth {depth}, at least {least} is asked for"]
+    out += [f"no path of shape {x}" for x in SHAPES if not has("shapes", x)]
+    return out if has("states", "present") and has("states", *STATES[1:]) else [*out, "no presence states"]

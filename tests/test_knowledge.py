@@ -58,6 +58,18 @@ def test_values_of_all_elements(large):
     assert [len(found[x]) for x in ("v7", "v8", "v59", "v60")] == [1, 1, 1, 0]
 
 
+def test_structure_gate(spark, docs):
+    rows = [("d:1", {"2014-01": [("x", {"s": 1})]}, "Present"), ("d:2", {"2014-01": []}, "missing")]
+    full = spark.createDataFrame(rows, "_id string, by_month map<string,array<struct<name:string,by_kind:map<string,int>>>>, state string")
+    report = induce.audit(full)
+    assert report["shapes"] == {"key_array_object": ["by_month.<*>[]", "by_month.<*>[].by_kind.<*>"], "array_object_key": ["by_month.<*>[].by_kind.<*>"]}
+    assert report["states"] == {"present": 1, "missing": 1} and induce.gate(report) == []
+    poor = induce.audit(docs)
+    assert poor["rich"] and induce.gate(poor) == ["no path of shape key_array_object", "no path of shape array_object_key", "no presence states"]
+    assert induce.gate(poor, report) == [] and len(induce.gate(induce.audit(full.select("_id", "state")))) == 3
+    assert induce.gate(induce.audit(full.where("state = 'Present'"))) == ["no presence states"]
+
+
 def test_gates(docs):
     index = induce.induce(docs, "c")
     _, good = parse("db.c.aggregate([{$addFields: {e: {$objectToArray: '$book.by_month'}}}, {$unwind: '$e'}, {$match: {'e.v.n': {$gt: 2}}}, {$group: {_id: '$e.k', n: {$sum: 1}}}, {$sort: {n: -1}}])")
