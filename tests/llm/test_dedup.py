@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from hashlib import sha256
 
 import pytest
 
@@ -44,6 +46,23 @@ def test_byte_repeats_of_the_table(spark):
     assert got == sorted(brute.byte_repeats([(d, (t or "").encode()) for d, t in docs]))
 
 
+def test_op7_on_the_whole_table(spark):
+    docs = [(d, (t or "").encode()) for d, t in texts(spark)]
+    windows = Counter(hash(t[i : i + 200]) for _, t in docs for i in range(len(t) - 199))
+    want = []
+    for d, t in docs:
+        kept, spans, end = [], 0, -1  # end of the bytes that are gone so far
+        for i in range(len(t) - 199):
+            if windows[hash(t[i : i + 200])] > 1:
+                if i > end:
+                    kept.append(t[max(end, 0) : i])
+                    spans += 1
+                end = i + 200
+        rest = b"".join([*kept, t[max(end, 0) :]])
+        want.append((d, len(t), len(t) - len(rest), spans, sha256(rest).hexdigest()))
+    assert tuples(queries.op7_suffix_dedup(spark, SF)) == sorted(want) and len(want) == 200 and sum(x[2] for x in want) > 0
+
+
 def test_byte_repeats_across_chunks(spark, monkeypatch):
     docs = made(2)
     monkeypatch.setattr(runs, "CHUNK", 97)
