@@ -1,16 +1,27 @@
 """Repeated word spans by compaction of a token De Bruijn graph.
 
-Windows of WIDTH words are the edges. Consecutive edges of a document that share their least gram are
-compacted where they stand into one path (a super-k-mer: see ``runs``), nonbranching by construction.
-Paths are joined on their gram: a gram met at one coordinate has no repeated edge; a gram all of whose
-paths are equal is one nonbranching path, repeated as a whole; where its paths differ the graph branches,
-and one path of each kind is opened into its edges, which are joined edge by edge. The least source
-coordinate of each path and edge decides which occurrence came first, and the others' words go.
-
-Defined cases: null and blank texts have no words; documents shorter than a window lose nothing; null
-ids come before all others; rows that share an id and have different texts are documents of their own,
-ordered by the texts' hash, and rows that repeat both count as one document and get equal results; an
-empty table gives no rows; further columns are ignored.
+Edges are windows of WIDTH words, nodes the WIDTH - 1 words that consecutive edges share. The graph is that
+of the repeated edges, those found at two coordinates or more; each knows the least coordinate at which it
+is found. A coordinate is (document, start), documents in order of (id, hash of the text).
+
+1. ``super_kmers``: consecutive windows that share their minimizer, a gram of GRAM words, are one row, as in
+   the published partitioned constructions of De Bruijn graphs. A minimizer met at one place has no repeated
+   edge. Super-k-mers of equal words are a class, so that copies don't multiply edges.
+2. ``edges``: one super-k-mer of each class is opened into its edges; Spark counts them, keeps the repeated
+   ones with their least coordinates, and counts the in- and outgoing edges of each node.
+3. ``compacted``: an edge continues another over a node with one edge in and one out, if its least coordinate
+   is the next one. Such nonbranching paths are compacted: first in blocks of BLOCK starts, then by pointer
+   jumping, a join per round, in as many rounds as the logarithm of the longest path.
+4. ``repeats``: the classes' edges meet the paths again, and each stretch of a class that runs along a path is
+   a span with a source coordinate. A class's members get its spans; a span that isn't its own source goes.
+
+Equality is decided by digests of 128 bits over the words at both coordinates, never by the rolling hashes
+that find minimizers and nodes: edges of one digest are one edge, classes too.
+
+Defined cases: null and blank texts have no words; documents shorter than a window lose nothing; ids may be
+of any type, null ids come before all others; rows that share an id and have different texts are documents of
+their own, ordered by the texts' hash, and rows that repeat both count as one document and get equal results;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,19 +29,153 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.llm.common import forget, written
+from quern.llm.hashing import Prefix, digests, minimizer_runs
+
+WIDTH, GRAM, BLOCK = 20, 8, 64
+#: Distinct words whose hashes a worker remembers at a time.
+REMEMBER = 400_000
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = out = xxh64_intdigest(word, 7)
+        return out
+
+
+class Words:
+    """The words of a batch of texts end to end: hashes, the bytes they join to, and where each word and text ends."""
+
+    def __init__(self, texts: pa.Array, known: WordHashes):
+        if len(known) > REMEMBER:
+            known.clear()
+        split = [(t.as_py() or b"").split() for t in texts]
+        self.sizes = np.array([len(x) for x in split], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        every = [w for x in split for w in x]
+        self.hashes = np.fromiter(map(known.__getitem__, every), dtype=np.uint64, count=len(every))
+        self.joined = b" ".join(every)
+        self.at = np.zeros(len(every) + 1, dtype=np.int64)  # where each word begins
+        np.cumsum(np.fromiter(map(len, every), dtype=np.int64, count=len(every)) + 1, out=self.at[1:])
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return digests(self.joined, self.at[start].tolist(), (self.at[end] - 1).tolist())
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names.split())
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text): doc is (id, tie); tie tells texts of one id apart."""
+    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie")).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+
+
+def super_kmers(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """(doc, start, n, key, d1, d2): runs of n windows with one minimizer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            words = Words(b.column(1), known)
+            for start, n, _, key in minimizer_runs(words.hashes, words.ends, width, gram):
+                doc = np.searchsorted(words.ends, start, side="right")
+                d = words.digests(start, start + n - 1 + width)
+                yield _batch("doc start n key d1 d2", b.column(0).take(pa.array(doc)), (start - (words.ends - words.sizes)[doc]).astype(np.int32), n.astype(np.int32), key.view(np.int64), d[:, 0], d[:, 1])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, start int, n int, key bigint, d1 bigint, d2 bigint")
+
+
+def opened(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """The edges of the chosen super-k-mers (doc, start, n, copies): (doc, run, start, copies, e1, e2, left, right)."""
+    wanted = chosen.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "copies")).alias("runs"))  # of one document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            words = Words(b.column(1), known)
+            many, mine = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
+            first, n, copies = (mine.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            which = np.repeat(np.arange(len(mine)), n)
+            doc = np.repeat(np.arange(len(b)), many)[which]
+            start = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            at = (words.ends - words.sizes)[doc] + start
+            hashed = Prefix(words.hashes)
+            for low in range(0, len(at), 1 << 17):
+                own = slice(low, low + (1 << 17))
+                d, a = words.digests(at[own], at[own] + width), at[own]
+                left, right = hashed.of(a, a + width - 1), hashed.of(a + 1, a + width)
+                yield _batch("doc run start copies e1 e2 left right", b.column(0).take(pa.array(doc[own])), first[which[own]].astype(np.int32), start[own].astype(np.int32), copies[which[own]], d[:, 0], d[:, 1], left.view(np.int64), right.view(np.int64))
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.join(wanted, "doc").mapInArrow(run, f"doc {kind}, run int, start int, copies boolean, e1 bigint, e2 bigint, left bigint, right bigint")
+
+
+def edges(all_edges: DataFrame) -> DataFrame:
+    """The repeated edges: (e1, e2, doc, start, left, right) with doc and start of the least coordinate."""
+    place = F.struct("doc", "start")
+    counted = all_edges.groupBy("e1", "e2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("copies"), F.max("left").alias("left"), F.max("right").alias("right"))
+    return counted.where("copies or first <> last").select("e1", "e2", "first.doc", "first.start", "left", "right")
+
+
+def compacted(graph: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(e1, e2, doc, root, off): each edge's place on its path; the path's first edge has the coordinate (doc, root)."""
+    ends = graph.select(F.col("left").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(graph.select(F.col("right").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    plain = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i = 1 and o = 1").select(F.col("node").alias("right"), F.lit(True).alias("through"))
+    marked = graph.join(plain, "right", "left").select("e1", "e2", "doc", "start", F.coalesce("through", F.lit(False)).alias("through"))
+    own = Window.partitionBy("doc", F.floor(F.col("start") / block)).orderBy("start")  # at most ``block`` rows
+    goes_on = (F.lag("start").over(own) == F.col("start") - 1) & F.lag("through").over(own)
+    marked = marked.withColumn("head", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("start")))
+    marked = written(marked.withColumn("piece", F.last("head", ignorenulls=True).over(own)).drop("head"))
+    pieces = marked.groupBy("doc", "piece").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.struct("start", "through")).alias("tail"))
+    before = pieces.where("tail.through").select("doc", (F.col("piece") + F.col("n")).alias("piece"), F.col("piece").alias("root"))
+    now = written(pieces.select("doc", "piece").join(before, ["doc", "piece"], "left").select("doc", "piece", F.coalesce("root", "piece").alias("root")))
+    while True:  # each round doubles the pieces that a pointer jumps over
+        far = now.where("root <> piece").select("doc", F.col("piece").alias("root"), F.col("root").alias("up"))
+        after = written(now.join(far, ["doc", "root"], "left").select("doc", "piece", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        forget(now)
+        now = after
+        if after.where("moved").isEmpty():
+            break
+    out = written(marked.join(now.drop("moved"), ["doc", "piece"]).select("e1", "e2", "doc", "root", (F.col("start") - F.col("root")).alias("off")))
+    forget(marked, now)
+    return out
 
-from quern.llm import runs
 
-WIDTH, GRAM = 20, 8
+def removed(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """(doc, start, n): windows of each document that are found at an earlier coordinate. rows: from keyed()."""
+    runs = written(super_kmers(rows, width, gram))
+    place = F.xxhash64("doc", "start")
+    met = written(runs.join(runs.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"), "key"))
+    forget(runs)
+    whole = F.struct("doc", "start")
+    classes = written(met.groupBy("key", "d1", "d2").agg(F.min(whole).alias("one"), F.max(whole).alias("last"), F.max("n").alias("n")).select("key", "d1", "d2", "one.*", "n", F.expr("one <> last").alias("copies")))
+    every = written(opened(rows, classes.select("doc", "start", "n", "copies"), width))
+    graph = written(edges(every))
+    paths = compacted(graph)
+    forget(graph)
+    along = every.select("doc", "run", "start", "e1", "e2").join(paths.withColumnRenamed("doc", "source"), ["e1", "e2"])
+    # the edges of a class that run along one path, shifted equally, are consecutive: between two of them all words agree
+    spans = along.groupBy("doc", "run", "source", "root", (F.col("off") - F.col("start")).alias("shift")).agg(F.min("start").alias("start"), F.count(F.lit(1)).cast("int").alias("n"))
+    spans = spans.groupBy("doc", "run").agg(F.collect_list(F.struct((F.col("start") - F.col("run")).alias("i"), "n", "source", (F.col("root") + F.col("start") + F.col("shift")).alias("at"))).alias("spans"))  # of one super-k-mer
+    of_class = written(classes.select("key", "d1", "d2", "doc", F.col("start").alias("run")).join(spans, ["doc", "run"]).select("key", "d1", "d2", "spans"))
+    forget(every, paths, classes)
+    found = met.join(of_class, ["key", "d1", "d2"]).select("doc", "start", F.explode("spans").alias("s"))
+    return found.select("doc", (F.col("start") + F.col("s.i")).alias("start"), F.col("s.n").alias("n"), "s.source", "s.at").where("not (doc = source and start = at)").select("doc", "start", "n")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(id, text, spans): windows of each document that occur earlier, in runs."""
-    rows = runs.keyed(docs, id_col, text_col)
-    found = runs.repeated(rows, runs.Units("words"), width, gram, first_stays=True)
-    return runs.with_spans(rows, found)
+    """(doc, text, spans): the windows of each document that occur earlier, in runs; null if none."""
+    rows = keyed(docs, id_col, text_col)
+    own = removed(rows, width, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return rows.join(own, "doc", "left").select("doc", "text", "spans")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -44,11 +189,13 @@ def digest(found: DataFrame, id_col: str = "doc_id", width: int = WIDTH) -> Data
                 n_words = len(words)
                 if mine.is_valid:
                     start, n = (mine.values.field(k).to_numpy() for k in range(2))
-                    mask = runs.covered(n_words, start, n, width).tolist()
-                    words = [w for w, gone in zip(words, mask, strict=True) if not gone]
+                    edge = np.zeros(n_words + 1, dtype=np.int64)
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + n - 1 + width, -1)
+                    words = [w for w, gone in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not gone]
                 out.append((n_words, n_words - len(words), sha256(b" ".join(words)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["id", "n", "r", "k"])
 
-    kind = found.schema["given"].dataType.simpleString()
-    return found.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    bare = found.select("doc.id", "text", "spans")
+    return bare.mapInArrow(run, f"`{id_col}` {bare.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string")
