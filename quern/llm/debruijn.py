@@ -7,11 +7,13 @@ is found. A coordinate is (document, start), documents in order of (id, hash of
 1. ``super_kmers``: consecutive windows that share their minimizer, a gram of GRAM words, are one row, as in
    the published partitioned constructions of De Bruijn graphs. A minimizer met at one place has no repeated
    edge. Super-k-mers of equal words are a class, so that copies don't multiply edges.
-2. ``edges``: one super-k-mer of each class is opened into its edges; Spark counts them, keeps the repeated
-   ones with their least coordinates, and counts the in- and outgoing edges of each node.
+2. ``edges``: one super-k-mer of each class is opened into its edges; if its minimizer has no other class, its
+   windows are alike everywhere and it stays one edge of n windows, compacted where it stands. Spark counts
+   edges, keeps the repeated ones with their least coordinates, and counts the edges at each node.
 3. ``compacted``: an edge continues another over a node with one edge in and one out, if its least coordinate
    is the next one. Such nonbranching paths are compacted: first in blocks of BLOCK starts, then by pointer
-   jumping, a join per round, in as many rounds as the logarithm of the longest path.
+   jumping, a join per round, in as many rounds as the logarithm of the longest path. A path is a unit of
+   work only: each edge keeps its own coordinate, so results don't depend on where paths end.
 4. ``repeats``: the classes' edges meet the paths again, and each stretch of a class that runs along a path is
    a span with a source coordinate. A class's members get its spans; a span that isn't its own source goes.
 
@@ -38,6 +40,8 @@ from quern.llm.common import forget, written
 from quern.llm.hashing import Prefix, digests, minimizer_runs
 
 WIDTH, GRAM, BLOCK = 20, 8, 64
+#: Bytes of text that a worker holds as words at a time, if one text isn't longer.
+AT_ONCE = 1 << 20
 #: Distinct words whose hashes a worker remembers at a time.
 REMEMBER = 400_000
 
@@ -69,6 +73,15 @@ class Words:
         return digests(self.joined, self.at[start].tolist(), (self.at[end] - 1).tolist())
 
 
+def portions(b: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about AT_ONCE bytes of text."""
+    part = np.cumsum(b.column(texts).fill_null(b"").to_pandas().str.len().to_numpy(dtype=np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(b)]
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            yield b.slice(low, high - low)
+
+
 def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names.split())
 
@@ -83,7 +96,7 @@ def super_kmers(rows: DataFrame, width: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for b in batches:
+        for b in (x for whole in batches for x in portions(whole, 1)):
             words = Words(b.column(1), known)
             for start, n, _, key in minimizer_runs(words.hashes, words.ends, width, gram):
                 doc = np.searchsorted(words.ends, start, side="right")
@@ -94,47 +107,49 @@ def super_kmers(rows: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def opened(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """The edges of the chosen super-k-mers (doc, start, n, copies): (doc, run, start, copies, e1, e2, left, right)."""
-    wanted = chosen.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "copies")).alias("runs"))  # of one document
+    """The edges of the chosen super-k-mers (doc, start, n, copies, whole): (doc, run, start, n, copies, e1, e2, left, right); one of all windows if whole."""
+    wanted = chosen.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "copies", "whole")).alias("runs"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for b in batches:
+        for b in (x for whole in batches for x in portions(whole, 1)):
             words = Words(b.column(1), known)
             many, mine = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
-            first, n, copies = (mine.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            which = np.repeat(np.arange(len(mine)), n)
+            first, n, copies, whole = (mine.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            edges = np.where(whole, 1, n)
+            which = np.repeat(np.arange(len(mine)), edges)
             doc = np.repeat(np.arange(len(b)), many)[which]
-            start = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            start = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(edges) - edges, edges)
+            size = np.where(whole, n, 1)[which]
             at = (words.ends - words.sizes)[doc] + start
             hashed = Prefix(words.hashes)
-            for low in range(0, len(at), 1 << 17):
-                own = slice(low, low + (1 << 17))
-                d, a = words.digests(at[own], at[own] + width), at[own]
-                left, right = hashed.of(a, a + width - 1), hashed.of(a + 1, a + width)
-                yield _batch("doc run start copies e1 e2 left right", b.column(0).take(pa.array(doc[own])), first[which[own]].astype(np.int32), start[own].astype(np.int32), copies[which[own]], d[:, 0], d[:, 1], left.view(np.int64), right.view(np.int64))
+            for low in range(0, len(at), 1 << 16):
+                own = slice(low, low + (1 << 16))
+                a, end = at[own], at[own] + size[own] - 1 + width
+                d = words.digests(a, end)
+                yield _batch("doc run start n copies e1 e2 left right", b.column(0).take(pa.array(doc[own])), first[which[own]].astype(np.int32), start[own].astype(np.int32), size[own].astype(np.int32), copies[which[own]], d[:, 0], d[:, 1], hashed.of(a, a + width - 1).view(np.int64), hashed.of(end - width + 1, end).view(np.int64))
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.join(wanted, "doc").mapInArrow(run, f"doc {kind}, run int, start int, copies boolean, e1 bigint, e2 bigint, left bigint, right bigint")
+    return rows.join(wanted, "doc").mapInArrow(run, f"doc {kind}, run int, start int, n int, copies boolean, e1 bigint, e2 bigint, left bigint, right bigint")
 
 
 def edges(all_edges: DataFrame) -> DataFrame:
-    """The repeated edges: (e1, e2, doc, start, left, right) with doc and start of the least coordinate."""
+    """The repeated edges: (e1, e2, doc, start, n, left, right) with doc and start of the least coordinate."""
     place = F.struct("doc", "start")
-    counted = all_edges.groupBy("e1", "e2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("copies"), F.max("left").alias("left"), F.max("right").alias("right"))
-    return counted.where("copies or first <> last").select("e1", "e2", "first.doc", "first.start", "left", "right")
+    counted = all_edges.groupBy("e1", "e2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("copies"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
+    return counted.where("copies or first <> last").select("e1", "e2", "first.doc", "first.start", "n", "left", "right")
 
 
 def compacted(graph: DataFrame, block: int = BLOCK) -> DataFrame:
     """(e1, e2, doc, root, off): each edge's place on its path; the path's first edge has the coordinate (doc, root)."""
     ends = graph.select(F.col("left").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(graph.select(F.col("right").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     plain = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i = 1 and o = 1").select(F.col("node").alias("right"), F.lit(True).alias("through"))
-    marked = graph.join(plain, "right", "left").select("e1", "e2", "doc", "start", F.coalesce("through", F.lit(False)).alias("through"))
+    marked = graph.join(plain, "right", "left").select("e1", "e2", "doc", "start", "n", F.coalesce("through", F.lit(False)).alias("through"))
     own = Window.partitionBy("doc", F.floor(F.col("start") / block)).orderBy("start")  # at most ``block`` rows
-    goes_on = (F.lag("start").over(own) == F.col("start") - 1) & F.lag("through").over(own)
+    goes_on = (F.lag(F.col("start") + F.col("n")).over(own) == F.col("start")) & F.lag("through").over(own)
     marked = marked.withColumn("head", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("start")))
     marked = written(marked.withColumn("piece", F.last("head", ignorenulls=True).over(own)).drop("head"))
-    pieces = marked.groupBy("doc", "piece").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.struct("start", "through")).alias("tail"))
+    pieces = marked.groupBy("doc", "piece").agg(F.sum("n").cast("int").alias("n"), F.max(F.struct("start", "through")).alias("tail"))
     before = pieces.where("tail.through").select("doc", (F.col("piece") + F.col("n")).alias("piece"), F.col("piece").alias("root"))
     now = written(pieces.select("doc", "piece").join(before, ["doc", "piece"], "left").select("doc", "piece", F.coalesce("root", "piece").alias("root")))
     while True:  # each round doubles the pieces that a pointer jumps over
@@ -153,17 +168,19 @@ def removed(rows: DataFrame, width: int, gram: int) -> DataFrame:
     """(doc, start, n): windows of each document that are found at an earlier coordinate. rows: from keyed()."""
     runs = written(super_kmers(rows, width, gram))
     place = F.xxhash64("doc", "start")
-    met = written(runs.join(runs.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"), "key"))
+    several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
+    keys = runs.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), several.alias("several")).where("a <> b").select("key", "several")
+    met = written(runs.join(keys, "key"))
     forget(runs)
-    whole = F.struct("doc", "start")
-    classes = written(met.groupBy("key", "d1", "d2").agg(F.min(whole).alias("one"), F.max(whole).alias("last"), F.max("n").alias("n")).select("key", "d1", "d2", "one.*", "n", F.expr("one <> last").alias("copies")))
-    every = written(opened(rows, classes.select("doc", "start", "n", "copies"), width))
+    at = F.struct("doc", "start")
+    classes = written(met.groupBy("key", "d1", "d2", "several", "n").agg(F.min(at).alias("one"), F.max(at).alias("last")).select("key", "d1", "d2", "one.*", "n", F.expr("one <> last").alias("copies"), F.expr("not several").alias("whole")))
+    every = written(opened(rows, classes.select("doc", "start", "n", "copies", "whole"), width))
     graph = written(edges(every))
     paths = compacted(graph)
     forget(graph)
-    along = every.select("doc", "run", "start", "e1", "e2").join(paths.withColumnRenamed("doc", "source"), ["e1", "e2"])
+    along = every.select("doc", "run", "start", "n", "e1", "e2").join(paths.withColumnRenamed("doc", "source"), ["e1", "e2"])
     # the edges of a class that run along one path, shifted equally, are consecutive: between two of them all words agree
-    spans = along.groupBy("doc", "run", "source", "root", (F.col("off") - F.col("start")).alias("shift")).agg(F.min("start").alias("start"), F.count(F.lit(1)).cast("int").alias("n"))
+    spans = along.groupBy("doc", "run", "source", "root", (F.col("off") - F.col("start")).alias("shift")).agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
     spans = spans.groupBy("doc", "run").agg(F.collect_list(F.struct((F.col("start") - F.col("run")).alias("i"), "n", "source", (F.col("root") + F.col("start") + F.col("shift")).alias("at"))).alias("spans"))  # of one super-k-mer
     of_class = written(classes.select("key", "d1", "d2", "doc", F.col("start").alias("run")).join(spans, ["doc", "run"]).select("key", "d1", "d2", "spans"))
     forget(every, paths, classes)

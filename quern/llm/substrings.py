@@ -12,10 +12,12 @@ are settled before they become rows:
    occurrence are a *run*, one row. Runs with a unique gram have no repeated string and leave.
 2. Runs that agree on all their bytes form a class. A gram all of whose runs agree is settled: repeated. So
    is a class with two places. One run stands for each class of the other grams.
-3. Doubling (``doubled``): each position of those runs is a row with the names of its first 64 bytes and of
+3. Ranks of the sampled suffixes grow from the gram on, forwards and backwards (``narrowed``). Where one is
+   unique at some length, positions whose strings reach so far from the gram leave their run.
+4. Doubling (``doubled``): each position that is left is a row with the names of its first 64 bytes and of
    the bytes at the offsets to come. Ranks grow from 64 to 128 bytes at offset 64, and to WIDTH = 200 at
    offset 72 (prefixes overlap past the threshold). Unique ranks leave in each round.
-4. Verification (``verified``): what is left is compared by a digest of 128 bits over the bytes at its
+5. Verification (``verified``): what is left is compared by a digest of 128 bits over the bytes at its
    coordinates. Classes are made of such digests to begin with; rolling hashes alone decide nothing.
 
 Rounds run over ``slices`` of the grams, one after another, as equal strings have equal grams: it divides
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import forget, written
 from quern.llm.hashing import BASE, Prefix, digests, minimizer_runs, mixed
 
-WIDTH, GRAM, SLICES = 200, 40, 4
+WIDTH, GRAM, SLICES = 200, 40, 2
 #: A random value for each byte.
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -104,6 +106,45 @@ def stretches(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     return rows.select("k", "tie", "text").join(wanted, ["k", "tie"]).mapInArrow(run, STRETCH)
 
 
+def reaches(width: int, gram: int) -> list[int]:
+    """Lengths at which sampled suffixes are ranked: +length forwards, -length backwards, half as long again each time."""
+    out, forth, back = [], gram + gram // 4, max(1, gram // 4)
+    while forth < width:
+        out.append(forth)
+        forth += forth // 2 if forth > 1 else 1
+    while back <= width - gram:
+        out.append(-back)
+        back += back // 2 if back > 1 else 1
+    return out
+
+
+def narrowed(cut: DataFrame, width: int, gram: int) -> DataFrame:
+    """The stretches without the positions at either end whose strings hold a unique stretch that begins or ends at the gram."""
+    lengths = reaches(width, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, len(b), 2048):
+                own = b.slice(low, 2048)
+                values, ends = flat(own.column(6))
+                n, off, key, place = (own.column(j).to_numpy() for j in (3, 4, 5, 7))
+                anchor = np.r_[0, ends[:-1]] + off if len(own) else off
+                hashed, mixer = Prefix(BYTES[values]), key.view(np.uint64) * np.uint64(BASE)
+                for length in lengths:
+                    there = np.flatnonzero(length <= width - (off - n + 1) if length > 0 else -length <= off)
+                    at = anchor[there]
+                    name = hashed.of(at, at + length) if length > 0 else hashed.of(at + length, at)
+                    yield _arrays("place bigint, length int, name bigint", place[there], np.full(len(there), length), mixed(name + mixer[there] + np.uint64(length + width)).view(np.int64))
+
+    names = cut.select("*", F.expr(PLACE).alias("place")).mapInArrow(run, "place bigint, length int, name bigint")
+    alone = names.groupBy("name").agg(F.min("place").alias("place"), F.max("place").alias("b"), F.max("length").alias("length")).where("place = b")
+    alone = alone.groupBy("place").agg(F.min(F.when(F.col("length") > 0, F.col("length"))).alias("forth"), F.max(F.when(F.col("length") < 0, F.col("length"))).alias("back"))
+    rows = cut.withColumn("place", F.expr(PLACE)).join(alone, "place", "left")
+    # a position's string reaches ``off`` bytes before the gram and width - off from it on
+    rows = rows.withColumn("most", F.expr("least(off, coalesce(-back - 1, off))")).withColumn("least", F.expr(f"greatest(off - n + 1, coalesce({width} - forth + 1, off - n + 1))")).where("most >= least")
+    return rows.select("k", "tie", F.expr("start + off - most").alias("start"), F.expr("most - least + 1").alias("n"), F.col("most").alias("off"), "key", F.expr(f"substring(bytes, off - most + 1, most - least + {width})").alias("bytes"))
+
+
 def steps(width: int) -> list[tuple[int, int]]:
     """(offset, length): the prefixes whose names make up the ranks, the first at offset 0; lengths double up to the width."""
     out, done = [(0, min(64, width))], min(64, width)
@@ -186,7 +227,9 @@ def repeated(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, slices: int
     branching = met.where("several").drop("several")
     classes = written(branching.groupBy("key", "d1", "d2").agg(F.min(F.struct("k", "tie", "start", "n", "off")).alias("one"), F.min(place).alias("a"), F.max(place).alias("b")))
     found.append(branching.join(classes.where("a <> b").select("key", "d1", "d2"), ["key", "d1", "d2"]).select(*span))
-    cut = written(stretches(rows, classes.select("one.*", "key"), width))
+    whole = written(stretches(rows, classes.select("one.*", "key"), width))
+    cut = written(narrowed(whole, width, gram))
+    forget(whole)
     for s in range(slices):
         own = cut.where(F.pmod("key", F.lit(slices)) == s)
         left = doubled(positions(own, width), len(steps(width)))

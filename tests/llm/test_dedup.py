@@ -111,14 +111,14 @@ def test_paths_are_compacted(spark):
     text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     rows = debruijn.keyed(frame(spark, [(1, text(0, 400)), (2, text(0, 400)), (3, "y " + text(100, 160) + " z"), (4, "q " + text(130, 300))]), "doc_id", "text")
     runs = debruijn.super_kmers(rows, 20, 8)
-    graph = debruijn.edges(debruijn.opened(rows, runs.select("doc", "start", "n", debruijn.F.lit(False).alias("copies")), 20))
+    graph = debruijn.edges(debruijn.opened(rows, runs.select("doc", "start", "n", debruijn.F.lit(False).alias("copies"), debruijn.F.lit(False).alias("whole")), 20))
     paths = debruijn.compacted(graph, block=16).collect()
     # only repeated edges are in the graph, and they have one way on each: the whole text is one path
     assert sorted((r.doc.id, r.root, r.off) for r in paths) == [(1, 0, i) for i in range(381)]
     one, two = text(0, 100) + " a b " + text(200, 260), text(0, 100) + " c d " + text(200, 260)
     rows = debruijn.keyed(frame(spark, [(1, one), (2, two), (3, one), (4, two)]), "doc_id", "text")
     runs = debruijn.super_kmers(rows, 20, 8)
-    graph = debruijn.edges(debruijn.opened(rows, runs.select("doc", "start", "n", debruijn.F.lit(False).alias("copies")), 20))
+    graph = debruijn.edges(debruijn.opened(rows, runs.select("doc", "start", "n", debruijn.F.lit(False).alias("copies"), debruijn.F.lit(False).alias("whole")), 20))
     assert {(r.doc.id, r.root) for r in debruijn.compacted(graph, block=16).collect()} == {(1, 0), (1, 81), (2, 81), (1, 102)}
 
 

@@ -64,6 +64,45 @@ def test_svg_and_math():
     assert page("<p>Or <math><mi>y</p>") == f"{body}\n\nOr y\n\n{body}"
 
 
+def test_the_cut_decides():
+    """Short lines and list items of a page without an article are doubtful alone and content among their neighbours; a sentence in a footer of no name is the reverse."""
+    page = f"<body><div><a href=/>Home</a> <a href=/x>About</a></div><div><p>{BODY}</p><ul><li>One thing</li><li>Two things</li></ul><p>{BODY}</p><div>Another line.</div><p>{BODY}</p></div><div><ul><li><a href=/1>x</a></li><li>Contact us by mail, at any time of the day.</li><li><a href=/2>y</a></li></ul></div></body>"
+    body, blocks = BODY.strip(), htmltext.Blocks()
+    blocks.feed(page)
+    blocks.close()
+    for b in blocks.blocks:
+        b.good = 0.3
+    signs = [b.text for b, x in zip(blocks.blocks, htmltext.capacities(blocks.blocks)) if x > 0]
+    got = htmltext.main_text(page).split("\n\n")
+    assert got == [body, "One thing", "Two things", body, "Another line.", body]
+    assert signs == [body] * 3
+
+
+def test_names_of_articles():
+    text = "\n\n".join([BODY.strip()] * 3)
+    inner = f"<p>{BODY}</p>" * 3
+    for start in ("<article class='post legal'>", "<article id=related>", "<main class=search>", "<article><section class=search>", "<article><div class=social-story>", "<article class=notice>"):
+        assert htmltext.main_text(f"<html><body><nav><a href=/>x</a></nav>{start}{inner}</body></html>") == text, start
+    for name in ("advert", "newsletter", "cookie-notice", "comments"):
+        assert htmltext.main_text(f"<article>{inner}<div class={name}><p>{BODY}</p></div></article>") == text
+    assert htmltext.main_text(f"<article>{inner}<div class=related><a href=/1>One thing</a> <a href=/2>Another</a></div></article>") == text
+
+
+def test_buttons_and_pages_without_tags():
+    assert htmltext.main_text(f"<article><p>Press <button>Start</button> now. {BODY}</p><button>Share</button><p><button>Like</button></p></article>") == f"Press Start now. {BODY.strip()}"
+    assert htmltext.main_text("Bare text &amp; no tag.\n  Two lines.") == "Bare text & no tag. Two lines."
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    n = 15_000
+    for open_, close in (("<div><p>x", ""), ("<b>", "<div>x</div>"), ("<svg><g>", "</i>"), ("<i><div>", "</i>"), ("<p><b>", "</section>")):
+        began = time.perf_counter()
+        htmltext.main_text("<article>" + open_ * n + close * n)
+        assert time.perf_counter() - began < 10, open_
+
+
 def test_table(spark):
     rows = [(1, "u", "<article><p>Hé</p></article>", "n"), (None, None, None, None), (1, "u", "<article><p>Hé</p></article>", "n")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

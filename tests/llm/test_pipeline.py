@@ -90,6 +90,88 @@ def test_mix_reaches_targets(spark):
     assert all(abs(taken[s] - goal[s]) <= 1 for s in sizes)
 
 
+def integral(schedule, t, steps=4000):
+    """By the midpoint rule, scaled to 1 at t = 1."""
+    n = len(schedule) - 1
+    rate = lambda x: schedule[min(n - 1, int(x * n))] + (schedule[min(n - 1, int(x * n)) + 1] - schedule[min(n - 1, int(x * n))]) * (x * n - min(n - 1, int(x * n)))
+    part = lambda end: sum(rate(end * (i + 0.5) / steps) for i in range(steps)) * end / steps
+    return part(t) / part(1.0)
+
+
+def test_taken_positions_and_order_against_a_plain_version(spark):
+    from pyspark.sql import functions as F
+
+    schedules = ((0.4, 1.6), (1.0, 2.0, 0.5, 0.0), (1.6, 0.4))
+    rows = [(i if i % 9 else None, " ".join(["w"] * (1 + i % 13) + [f"x{i}"]), "abc"[i % 3]) for i in range(60)] + [(500, None, "a"), (501, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(docs, schedules=schedules, buckets=4).collect()
+    assert sorted(map(str, mixing.plan(docs, schedules=schedules, buckets=4).collect())) == sorted(map(str, got))
+    hashed = docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "text", F.lit("mix")).alias("h")).collect()
+    bucket = lambda h: h % 4
+    goal = {r.source_size: r.target for r in got}
+    names = {"a": 0, "b": 1, "c": 2, None: 0}
+    size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in names}
+    demand = [sum(goal[size[s]] for s in names if names[s] == k) for k in range(3)]
+    want = []
+    for s in names:
+        place = 0
+        for r in sorted((r for r in hashed if r.source == s), key=lambda r: (bucket(r.h), r.h)):
+            n = len((r.text or "").split())
+            taken = [max(0, min(n, round(goal[size[s]]) - j * size[s] - place)) for j in range(3)]
+            position = None
+            if taken[0]:
+                share, low, high = min(1.0, (place + taken[0] / 2) / max(1.0, goal[size[s]])), 0.0, 1.0
+                for _ in range(30):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if integral(schedules[names[s]], mid, 200) < share else (low, mid)
+                position = sum(d * integral(x, low, 200) for d, x in zip(demand, schedules))
+            want.append((r.doc_id, n, sum(taken), position))
+            place += n
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    plain = sorted(want, key=key)
+    for r, w in zip(sorted(((r.doc_id, r.size, r.taken, r.first_position) for r in got), key=key), plain, strict=True):
+        assert r[:2] == w[:2]
+    by_size = lambda rows: sorted((n, t, p or 0.0) for _, n, t, p in rows)
+    for a, b in zip(by_size((r.doc_id, r.size, r.taken, r.first_position) for r in got), by_size(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-2 * max(1.0, b[2])
+    order = [r.first_position for r in got if r.first_position is not None]
+    assert order == sorted(order)
+
+
+def test_slots_follow_the_written_order(spark):
+    from pyspark.sql import functions as F
+
+    docs = common.written(mixing.curriculum(common.table(spark, SF, "documents"), position=None).repartitionByRange(5, F.monotonically_increasing_id()))
+    seen = docs.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()
+    got = corpus_pipeline.sharding_to_tree(spark, docs, SF).select("doc_id", "shard", "slot").collect()
+    home = {r.doc_id: r.shard for r in got}
+    for s in range(8):
+        want = [r.doc_id for r in sorted(seen, key=lambda r: (r.f, r.i)) if home[r.doc_id] == s]
+        own = sorted((r.slot, r.doc_id) for r in got if r.shard == s)
+        assert [x[0] for x in own] == list(range(len(want))) and [x[1] for x in own] == want
+
+
+def test_shards_against_a_plain_version(spark):
+    from math import log
+
+    from pyspark.sql import functions as F
+
+    leaves = [sharding.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard) for x in sharding.tree(8)]
+    docs = common.table(spark, SF, "documents")
+    names = sorted({n for x in leaves for n in (x.region, f"{x.region}/{x.rack}", f"{x.region}/{x.rack}/{x.shard}")})
+    draws = {r.doc_id: r for r in docs.select("doc_id", *(F.xxhash64("doc_id", F.lit(n)).alias(n) for n in names)).collect()}
+    for r in sharding.assign(docs, leaves).collect():
+        def draw(name, own):
+            u = ((draws[r.doc_id][name] % (1 << 64) >> 11) + 0.5) / (1 << 53)  # noqa: B023
+            return -log(u) / sum(x.weight for x in own)
+
+        own = leaves
+        for name in (lambda x: x.region, lambda x: f"{x.region}/{x.rack}", lambda x: f"{x.region}/{x.rack}/{x.shard}"):
+            best = min({name(x) for x in own}, key=lambda n: draw(n, [x for x in own if name(x) == n]))  # noqa: B023
+            own = [x for x in own if name(x) == best]
+        assert [x.shard for x in own] == [r.shard]
+
+
 def test_ablation(spark):
     docs = common.table(spark, SF, "documents")
     rows = rules.ledger(docs)
