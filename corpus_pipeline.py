@@ -28,13 +28,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay, repeat or go as their source's target asks, in the order of the curriculum."""
+    """Documents stay, repeat or go as their source's target asks; the table is written in the order of the curriculum."""
     return mixing.curriculum(docs, position=None)
 
 
 def sharding_to_tree(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard and slot, beside the columns of the documents."""
-    return sharding.assign(docs, sharding.tree(8), carry=docs.columns, more=sharding.grown(sharding.tree(8)))
+    """Every row gets its shard and slot, beside the columns of the documents; a shard's slots follow the curriculum."""
+    return sharding.assign(docs, sharding.tree(8), carry=docs.columns, more=sharding.grown(sharding.tree(8)), in_order=True)
 
 
 STAGES = [
