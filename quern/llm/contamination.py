@@ -8,7 +8,8 @@ sketches finds every containing document, short items in long documents included
 verified on all shingle hashes and then on the shingles' words.
 
 Documents are never shuffled. The items are a stated query set; they are sent to the executors in
-blocks of at most about ``block_bytes`` of text, one pass over the documents for each block.
+blocks of at most about ``block_bytes`` of text, one pass over the documents for each block. The driver holds one
+block at a time: what a pass found is written before the next block is built. Items that repeat travel once.
 
 Words are split at white space, lower-cased in A-Z, and bare of ASCII punctuation at their ends; words
 of nothing else are skipped. Defined cases: null, empty and wordless texts contain nothing and items
@@ -30,6 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import forget, written
+from quern.llm.hashing import mixed
+
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 8 << 20
 MARKS = punctuation.encode()
@@ -49,12 +53,6 @@ class WordHashes(dict):
         return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def bare_words(text: bytes) -> list[bytes]:
     return [y for x in text.split() if (y := x.lower().strip(MARKS))]
 
@@ -75,6 +73,7 @@ class Sketches:
 
     threshold: float
     ids: list = field(default_factory=list)
+    copies: list[int] = field(default_factory=list)
     words: list[list[bytes]] = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
     index: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = field(default_factory=dict)
@@ -82,7 +81,7 @@ class Sketches:
     @classmethod
     def of(cls, items: list[tuple], threshold: float, shingle: int) -> Sketches:
         self, keys, known = cls(threshold), defaultdict(lambda: defaultdict(list)), WordHashes()
-        for item_id, text in items:
+        for item_id, text, copies in items:
             if not (words := bare_words(text or b"")):
                 continue
             n = min(shingle, len(words))
@@ -92,6 +91,7 @@ class Sketches:
             for h in own[:k].tolist():  # the least k hashes
                 keys[n][h].append(len(self.ids))
             self.ids.append(item_id)
+            self.copies.append(copies)
             self.words.append(words)
             self.hashes.append(own)
         self.index = {n: (np.array(sorted(d), dtype=np.uint64), dict(d)) for n, d in keys.items()}
@@ -126,13 +126,14 @@ class Sketches:
                     yield i, len(own), shared
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, block_bytes: int) -> Iterator[Sketches]:
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def _blocks(items: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, block_bytes: int) -> Iterator[tuple[Sketches, bool]]:
+    """The sketches of each block, and whether it is the last."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()  # about block_bytes
-        yield Sketches.of(sorted(((r[0], bytes(r[1] or b"")) for r in own), key=str), threshold, shingle)
+        yield Sketches.of(sorted(((r[0], bytes(r[1] or b""), r[2]) for r in own), key=str), threshold, shingle), k == n - 1
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -141,19 +142,22 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     kinds = rows.schema[0].dataType, items.schema[item_col].dataType
     schema = f"`{id_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, item_shingles bigint, shared_shingles bigint, containment double"
-    for sketches in _blocks(items, item_col, item_text, threshold, shingle, block_bytes):
+    for sketches, last in _blocks(items, item_col, item_text, threshold, shingle, block_bytes):
         sent = spark.sparkContext.broadcast(sketches)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, known = sent.value, WordHashes()
             for b in batches:
-                hits = [(row, *x) for row, t in enumerate(b.column(1)) for x in own.within(t.as_py() or b"", known)]
+                hits = [(row, *x) for row, t in enumerate(b.column(1)) for x in own.within(t.as_py() or b"", known) for _ in range(own.copies[x[0]])]
                 if hits:
                     row, item, q, shared = zip(*hits, strict=True)
                     ids = pa.array([own.ids[i] for i in item], type=_arrow(kinds[1]))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), ids, pa.array(q, pa.int64()), pa.array(shared, pa.int64()), pa.array([s / x for s, x in zip(shared, q, strict=True)], pa.float64())], names=["d", "i", "q", "s", "c"])
 
         part = rows.mapInArrow(run, schema)
+        if not last:
+            part = written(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -166,8 +170,8 @@ def _arrow(kind) -> pa.DataType:
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that contain no item."""
-    spark = docs.sparkSession
-    for sketches in _blocks(items, item_col, item_text, threshold, shingle, block_bytes):
+    spark, before = docs.sparkSession, None
+    for sketches, last in _blocks(items, item_col, item_text, threshold, shingle, block_bytes):
         sent = spark.sparkContext.broadcast(sketches)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -178,4 +182,10 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                 yield b.filter(pa.array(stay, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = written(docs)
+            sent.destroy()
+            if before is not None:
+                forget(before)
+            before = docs
     return docs

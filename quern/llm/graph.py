@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import forget, written
 
 #: A hub's edges are dealt to so many tasks.
 SALTS = 8
@@ -32,7 +32,8 @@ def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
         large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         down = _with_min(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         small = down.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = written(small, partitions)
+        old, now = now, written(small, partitions)
+        forget(old)
         before, mark = mark, stamp(now)
         if mark == before:
             break

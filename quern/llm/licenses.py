@@ -8,7 +8,9 @@ inserted, dropped or changed to turn some stretch of the block into the template
 Words are lower-cased and bare of punctuation at their ends. Defined cases: null, empty and wordless texts
 have no license; null ids are returned as they are; a license that a document states twice is one row, with
 its best match; repeated documents give rows of their own; an empty table gives no rows; further columns are
-ignored. Blocks overlap by more than the longest template, so none is cut in two.
+ignored. Blocks reach further around a cue than the longest template and overlap by more than it, so none is cut
+in two. A candidate block is one with a cue; every template has more cues than words that may differ, so a text
+without any cannot state it closely enough.
 """
 
 from __future__ import annotations
@@ -56,9 +58,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
 }
 
-#: A block is a candidate if it has one of these.
+#: Words that licenses are known by; cues() adds words of templates that have too few of them.
 CUE = r"licen[sc]e|copyright|public domain|creative commons|permission|redistribut|free software"
-REACH = 4000
 #: A template is confirmed if it saves this share of what it saves on itself, and at most this share of its words differ.
 SAVED, DIFFERENT = 0.3, 0.1
 
@@ -67,6 +68,20 @@ def bare(text: str) -> list[str]:
     return [y for x in text.lower().split() if (y := x.strip(punctuation))]
 
 
+def cues(templates: Mapping[str, tuple[str, ...]]) -> str:
+    """CUE and the longest words of templates, so that each template has more words with a cue than may differ."""
+    found = CUE
+    for text in (t for own in templates.values() for t in own):
+        words = bare(text)
+        lines = lambda: sum(bool(re.search(found, w)) for w in words)  # noqa: B023, E731
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if lines() > int(DIFFERENT * len(words)):
+                break
+            if not re.search(found, w):
+                found += "|" + re.escape(w)
+    return found
+
+
 def aligned(template: list[str], block: list[str]) -> tuple[int, int, int]:
     """(word edits, start, end) of the stretch of the block that the fewest edits turn into the template.
 
@@ -86,25 +101,27 @@ def aligned(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return int(above[end] >> 32), int(above[end] & (one - 1)), end
 
 
-def blocks(text: str, cue: re.Pattern) -> Iterator[tuple[int, str]]:
-    """(offset, text) around the cues: stretches of REACH characters on either side, and where these meet, pieces of four REACH that overlap by two."""
+def blocks(text: str, cue: re.Pattern, reach: int) -> Iterator[tuple[int, str]]:
+    """(offset, text) around the cues: stretches of ``reach`` characters on either side, and where these meet, pieces of four times that that overlap by two."""
     low = high = -1
     for m in [*cue.finditer(text), None]:
-        if m and low >= 0 and m.start() - REACH <= high:
-            high = min(len(text), m.end() + REACH)
+        if m and low >= 0 and m.start() - reach <= high:
+            high = min(len(text), m.end() + reach)
             continue
         if low >= 0:
-            for at in range(low, max(low + 1, high - 2 * REACH), 2 * REACH):
-                yield at, text[at : at + 4 * REACH if at + 4 * REACH < high else high]
+            for at in range(low, max(low + 1, high - 2 * reach), 2 * reach):
+                yield at, text[at : at + 4 * reach if at + 4 * reach < high else high]
         if m:
-            low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+            low, high = max(0, m.start() - reach), min(len(text), m.end() + reach)
 
 
 class Scanner:
     def __init__(self, templates: Mapping[str, tuple[str, ...]], level: int = 3):
         import zstandard as zstd
 
-        self.plain, self.cue = zstd.ZstdCompressor(level=level), re.compile(CUE, re.IGNORECASE)
+        self.plain, self.cue = zstd.ZstdCompressor(level=level), re.compile(cues(templates), re.IGNORECASE)
+        # half as long again as the longest template, for words that are inserted and punctuation around them
+        self.reach = max([2000, *(len(" ".join(t.split())) for own in templates.values() for t in own)]) * 3 // 2
         self.own, self.by_reach = [], {}
         for name, texts in templates.items():
             for text in texts:
@@ -171,9 +188,10 @@ class Scanner:
                 heappush(heap, x)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(license, saved share, template words, different words, block's offset), one for each license."""
+        """(license, saved share, template words, different words, block's offset in the text with white space made single), one for each license."""
         best: dict[str, tuple[float, int, int, int]] = {}
-        for offset, block in blocks(text, self.cue):
+        text = " ".join(text.split())  # white space of any length counts as one character
+        for offset, block in blocks(text, self.cue, self.reach):
             for ratio, minus, name, share, n in self.stated(bare(block)):
                 if name not in best or (ratio, minus, offset) < (best[name][2] / best[name][1], -best[name][1], best[name][3]):
                     best[name] = (round(share, 4), -minus, n, offset)
@@ -182,7 +200,7 @@ class Scanner:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(id, license, saved, n_words, n_different, offset) for every license that a document states."""
-    rows = docs.select(id_col, text_col).where(F.col(text_col).rlike(f"(?i){CUE}"))
+    rows = docs.select(id_col, text_col).where(F.col(text_col).rlike(f"(?i){cues(templates)}"))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

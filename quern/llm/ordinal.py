@@ -140,7 +140,7 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, dimensions: int = DIMENSIONS, n_grades: int = GRADES) -> Model:
-    """grades: (id, grade). Fits on the labelled documents among the ``sample`` labels of least hash."""
+    """grades: (id, grade). Fits on at most ``sample`` labelled documents: those of the ``sample`` labels of least hash, and of rows that share their ids again the ``sample`` of least hash."""
     chosen = grades.orderBy(F.xxhash64(id_col), id_col, "grade").limit(sample)
     rows = docs.select(id_col, F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), id_col)  # at most ``sample`` rows of two numbers
 
@@ -151,7 +151,8 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
                 at, value = zip(*(features.of(x.as_py()) for x in b.column("_text")), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), b.column("grade"), b.column(id_col)], names=["at", "value", "grade", "i"])
 
-    table = rows.mapInArrow(run, f"at array<int>, value array<float>, grade int, i {rows.schema[id_col].dataType.simpleString()}").toArrow()
+    table = rows.mapInArrow(run, f"at array<int>, value array<float>, grade int, i {rows.schema[id_col].dataType.simpleString()}")
+    table = table.orderBy(F.xxhash64("i"), "i", "grade", F.xxhash64("at", "value")).limit(sample).toArrow()
     table = table.sort_by([("i", "ascending"), ("grade", "ascending")])
     return fit([(a, v, g) for a, v, g in zip(table["at"].to_pylist(), table["value"].to_pylist(), table["grade"].to_pylist(), strict=True)], dimensions, n_grades)
 

@@ -5,7 +5,8 @@ of two linked fingerprints, one segment differs by at most one bit. Every finger
 each segment with each one of its bits blanked; equal keys meet in an equality join and pairs are
 verified on all 64 bits. Equal fingerprints are one row throughout, so copies never multiply.
 
-A bucket of more than ``pairs_up_to`` different fingerprints isn't expanded into pairs. Its members are
+Pairs of a bucket grow with its square, so a bucket of more than ``pairs_up_to`` different fingerprints isn't
+expanded into pairs; for it there is an exact way without pairs. Its members are
 indexed under their whole fingerprint and its 64 one-bit neighbours instead: two fingerprints share
 such a key exactly if at most two bits differ, so each key links its members to the least of them, with
 no pair to verify and no link lost.
@@ -102,8 +103,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs that stay: one for each component, the one with the least id (of rows that share it, the least text hash)."""
     keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
     found = near_duplicates(keyed.select(F.struct("_id", "_h").alias("_key"), "_text"), "_key", "_text", pairs_up_to)
-    # ids are compared with their text's hash, null ids last
-    stay = found.groupBy("component").agg(F.min(F.struct(F.col("id._id").isNull().alias("n"), F.col("id._id").alias("i"), F.col("id._h").alias("h"))).alias("k")).select(F.coalesce("k.i", F.lit(0)).alias("_i"), F.col("k.n").alias("_n"), F.col("k.h").alias("_h"))
-    rows = keyed.drop("_text").withColumn("_n", F.col("_id").isNull()).withColumn("_i", F.coalesce("_id", F.lit(0)))
-    kept = rows.join(written(stay), ["_i", "_n", "_h"]).withColumn("_no", F.row_number().over(Window.partitionBy("_i", "_n", "_h").orderBy(F.lit(0))))
+    # ids are compared with their text's hash, null ids last; structs of a null id are equal where null ids aren't
+    first = F.min(F.struct(F.col("id._id").isNull().alias("n"), F.col("id._id").alias("i"), F.col("id._h").alias("h"))).alias("k")
+    stay = found.groupBy("component").agg(first).select(F.struct("k.i").alias("_i"), F.col("k.h").alias("_h"))
+    rows = keyed.drop("_text").withColumn("_i", F.struct(F.col("_id").alias("i")))
+    kept = rows.join(written(stay), ["_i", "_h"]).withColumn("_no", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.lit(0))))
     return kept.where("_no = 1").select("_row.*")

@@ -41,3 +41,13 @@ def test_the_table_against_all_pairs(spark):
     own = {r.item_id: shingles(r.text) for r in items.collect()}
     want = sorted((r.doc_id, i) for r in docs.collect() for x in [shingles(r.text)] for i, s in own.items() if s and len(s & x) >= 0.8 * len(s))
     assert sorted((r.doc_id, r.item_id) for r in contamination.contained(docs, items).collect()) == want and want
+
+
+def test_repeated_items_and_documents(spark):
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(1, "a " + text), (1, "a " + text), (2, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text), (7, text), (8, text), (None, text)], "item_id long, text string")
+    for more in ({}, {"block_bytes": 10}):
+        got = sorted(((r.doc_id, r.item_id) for r in contamination.contained(docs, items, **more).collect()), key=str)
+        assert got == sorted([(1, 7), (1, 7), (1, 8), (1, None)] * 2, key=str)
+        assert [r.doc_id for r in contamination.clean(docs, items, **more).collect()] == [2]

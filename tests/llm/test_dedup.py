@@ -175,3 +175,12 @@ def test_representatives(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     assert sorted((r.doc_id, r.fp) for r in simhash.representatives(df).collect()) == [(1, 2), (7, 4), (9, 6)]
     assert simhash.representatives(df.where("false")).count() == 0
+
+
+def test_simhash_of_odd_rows(spark):
+    rows = [("b", "a b c"), ("a", "A B C"), (None, "a b c"), (None, "quite other words"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.id, r.component) for r in simhash.near_duplicates(df).collect()}
+    assert got == {("a", "a"), ("b", "a"), (None, "a"), (None, None), ("c", "c")}
+    assert simhash.near_duplicates(df.where("false")).count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.representatives(df).collect()) == ["None", "a", "c"]
