@@ -23,7 +23,7 @@ from quern.plans.policy import canonical_value
 
 CAP, SURPLUS = 100_000, 2
 # Outcomes, in order of precedence.
-OUTCOMES = ("correct", "invalid", "exec_error", "row_count_exceeded", "empty", "order_only", "row_subset", "row_superset", "value_mismatch", "missing")
+OUTCOMES = ("correct", "invalid", "exec_error", "row_count_exceeded", "empty", "order_only", "row_subset", "row_superset", "value_mismatch", "no_submission")
 
 Row = dict[str, Any]
 
@@ -104,11 +104,11 @@ def outcome(gold: Sequence[Row], got: Sequence[Row] | None, *, ordered: bool = F
         return "row_count_exceeded"
     if matches(gold, got, ordered):
         return "correct"
-    if not got:
+    if not got and gold:
         return "empty"
-    if ordered and matches(gold, got, False):
-        return "order_only"
     a, b = Counter(map(row_key, gold)), Counter(map(row_key, got))
+    if a == b:  # the rows are right, only their order can be wrong
+        return "order_only" if ordered else "value_mismatch"
     if not b - a:
         return "row_subset"
     if not a - b:
@@ -173,7 +173,7 @@ def with_missing(scores: DataFrame, tasks: DataFrame, systems: DataFrame) -> Dat
     """A zero row for every task that a system has no prediction for, so that the denominator stays."""
     every = tasks.select("db_id", "record_id").crossJoin(F.broadcast(systems.select("system_id").distinct()))  # systems are few: one row for each evaluated
     absent = every.join(scores, ["system_id", "db_id", "record_id"], "left_anti")
-    zero = absent.select("system_id", "db_id", "record_id", F.lit(0).alias("exc"), F.lit(0.0).alias("exf1"), F.lit("missing").alias("outcome"))
+    zero = absent.select("system_id", "db_id", "record_id", F.lit(0).alias("exc"), F.lit(0.0).alias("exf1"), F.lit("no_submission").alias("outcome"))
     return scores.unionByName(zero, allowMissingColumns=True)
 
 
@@ -228,14 +228,98 @@ def vote(candidates: Sequence[dict[str, Any]]) -> dict[str, Any] | None:
     return {**candidates[min(best, key=rank)], "votes": len(best)}
 
 
+# Names of probes, their further columns, and whether a sound metric accepts them.
+PROBES = {"id_leak": (1, True), "double_helper": (2, True), "triple_surplus": (3, False), "full_doc_dump": (8, False), "empty_result": (None, False), "constant_scalar": (None, False)}
+SWEEP = (0, 1, 2, 3, math.inf)
+
+
 def probes(gold: Sequence[Row]) -> dict[str, list[Row]]:
-    """Predictions that a sound metric treats in known ways."""
+    """Predictions that a sound metric treats in known ways; a constant is one row even where no row is asked for."""
     more = lambda n: [{**r, **{f"extra_{i}": f"x{i}" for i in range(n)}} for r in gold]
-    return {"id_leak": more(1), "double_helper": more(2), "triple_surplus": more(3), "full_dump": more(9), "empty": [], "constant": [{"c": 1} for _ in gold]}
+    nothing = {"empty_result": [], "constant_scalar": [{"c": 0}] * max(1, len(gold))}
+    return {k: nothing[k] if n is None else more(n) for k, (n, _) in PROBES.items()}
+
+
+def surplus_sweep(gold: Sequence[Row], levels: Iterable[float] = SWEEP, ordered: bool = False) -> list[dict[str, Any]]:
+    """What each probe gets at each level of surplus, and whether that is right."""
+    return [{"probe": k, "surplus": b, "passes": (p := matches(gold, rows, ordered, b)), "right": p == PROBES[k][1]} for k, rows in probes(gold).items() for b in levels]
+
+
+def least_sound_surplus(golds: Iterable[tuple[Sequence[Row], bool]], levels: Iterable[float] = SWEEP) -> dict[str, Any]:
+    """The least level at which every probe of every gold result (rows, ordered) is treated rightly, and how many are at each level."""
+    levels, sound, n = list(levels), Counter(), 0
+    for gold, ordered in golds:
+        n += 1
+        sweep = surplus_sweep(gold, levels, ordered)
+        sound.update(b for b in levels if all(r["right"] for r in sweep if r["surplus"] == b))
+    fit = [b for b in levels if n and sound[b] == n and b != math.inf]
+    return {"surplus": min(fit, default=None), "agrees": bool(fit) and min(fit) == SURPLUS, "results": n, "sound": {b: sound[b] for b in levels}}
+
+
+def self_scores(gold: Sequence[Row], ordered: bool = False) -> list[str]:
+    """What is wrong with a gold result on its own: it must match itself fully, and have rows."""
+    out = [] if matches(gold, gold, ordered) and row_f1(gold, gold) == 1.0 else ["does not match itself"]
+    return out if gold else [*out, "empty"]
+
+
+def same_named_rows(gold: Sequence[Row], got: Sequence[Row], ordered: bool = False) -> bool:
+    """Equal with names: every row as its canonical form."""
+    a, b = ([value_key(r) for r in rows] for rows in (gold, got))
+    return a == b if ordered else Counter(a) == Counter(b)
+
+
+class TooManyRows(ValueError):
+    """A gold result over the cap: the comparison wasn't made, which says nothing about a prediction."""
+
+
+def compared(gold: DataFrame, got: DataFrame, ordered: bool = False, cap: int = CAP) -> dict[str, Any]:
+    """score() of two results, read no further than needed: a gold result over the cap is an error, and a prediction is read to one row more than the gold one has, which settles it."""
+    rows = gold.limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise TooManyRows(f"more than {cap} rows")
+    have = got.limit(len(rows) + 1).collect()
+    dicts = lambda rs: [r.asDict(recursive=True) for r in rs]
+    return score(dicts(rows), dicts(have), ordered=ordered, **({"exceeded": True} if len(have) > len(rows) else {}))
+
+
+# --- counterfactuals -------------------------------------------------------------------------------
+
+
+def shadowed(df: DataFrame, n: int, id_col: str = "_id") -> DataFrame:
+    """df and n documents of the same form whose values are out of every range that it has: true queries don't see them."""
+
+    def moved(c: Column, t: T.DataType, salt: Column) -> Column:
+        if isinstance(t, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(moved(c.getField(f.name), f.dataType, salt).alias(f.name) for f in t.fields)))
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: moved(x, t.elementType, salt))
+        if isinstance(t, T.MapType):
+            return F.transform_values(c, lambda _, v: moved(v, t.valueType, salt))
+        if isinstance(t, T.BooleanType):
+            return ~c
+        if isinstance(t, T.NumericType):
+            far = F.lit(910_000_000) + salt
+            return F.when(c.isNotNull(), (far + 0.5 if isinstance(t, T.FractionalType) else far).cast(t))
+        if isinstance(t, T.StringType):
+            return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}"), F.lit("1066-10-14")).otherwise(F.when(c.isNotNull(), F.concat(F.lit("shadow "), salt.cast("string"))))
+        return c
+
+    few = df.orderBy(id_col).limit(n).withColumn("__salt", F.xxhash64(id_col) % 10_000)
+    shadows = few.select(*((F.concat(F.lit("shadow:"), F.col(id_col).cast("string")) if f.name == id_col and isinstance(f.dataType, T.StringType) else moved(F.col(f"`{f.name}`"), f.dataType, F.col("__salt"))).alias(f.name) for f in df.schema.fields))
+    return df.unionByName(shadows)
+
 
+def counterfactual(collections: dict[str, DataFrame], gold: Any, got: Any, n: int = 20, of: Sequence[str] | None = None) -> dict[str, bool | None]:
+    """Is a prediction right for the right reason? gold and got: collections -> result.
 
-def surplus_sweep(gold: Sequence[Row], levels: Iterable[float] = (0, 1, 2, 3, math.inf)) -> list[dict[str, Any]]:
-    return [{"probe": k, "surplus": b, "passes": matches(gold, rows, surplus=b)} for k, rows in probes(gold).items() for b in levels]
+    Shadows are added to the collections. If they change the gold result the test says nothing; else the prediction has to match as before.
+    """
+    grown = {k: shadowed(df, n) if of is None or k in of else df for k, df in collections.items()}
+    before, after = gold(collections), gold(grown)
+    kept = equal_frames(before, after)
+    match = lambda world: equal_frames(before, got(world))
+    was = match(collections)
+    return {"gold_kept": kept, "matched": was, "flips": (was != match(grown)) if kept else None}
 
 
 def entropy(counts: Sequence[int]) -> float:

@@ -553,7 +553,7 @@ OPERATORS: dict[str, Callable[[Any, Scope], Value]] = {
     "$ln": _one(lambda v: Value(F.ln(number(v)), T.DoubleType())),
     "$log10": _one(lambda v: Value(F.log10(number(v)), T.DoubleType())),
     "$exp": _one(lambda v: Value(F.exp(number(v)), T.DoubleType())),
-    "$round": lambda args, scope: (lambda v: Value(F.round(number(v[0]), args[1] if isinstance(args, list) and len(args) > 1 else 0), v[0].type))(_many(args, scope)),
+    "$round": lambda args, scope: (lambda v: Value(F.bround(number(v[0]), args[1] if isinstance(args, list) and len(args) > 1 else 0), v[0].type))(_many(args, scope)),
     "$trunc": _one(lambda v: Value(F.when(number(v) < 0, F.ceil(number(v))).otherwise(F.floor(number(v))).cast("long"), T.LongType())),
     "$max": _fold(F.array_max, "greatest"),
     "$min": _fold(F.array_min, "least"),

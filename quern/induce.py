@@ -22,8 +22,8 @@ DATA_KEY = r"^(?:\d{4}(?:-\d{1,2}){0,2}|\d{1,2}:\d{2}|[A-Z0-9]{2,}(?:[-_][A-Z0-9
 FIELD_KEY = r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)*$"
 NUMBER_KEY = r"^\d+(?:\.\d+)?$"
 NAMED_MAP = r"(?:^by_|_by_|_bag$|_index$)"
-#: Most distinct keys of a path that are brought to the driver as examples.
-EXAMPLES = 20
+# Names of fields that hold identifiers, and how many of their values are shown.
+ID_FIELD, EXAMPLES = r"(?i)(?:^|_)(?:id|uuid|code|key)$", 2
 
 
 def _kind(v: Column) -> Column:
@@ -113,6 +113,24 @@ RULES: dict[str, str] = {
 RULE_SETS = {"default": ("prolific", "data_dominated"), "signals": ("prolific", "data_dominated", "numeric"), "audit": ("named", "data_dominated"), "viewer": ("named", "wide")}
 
 
+def key_signals(nodes: DataFrame) -> DataFrame:
+    """(path, numeric, uniform, as_value): further signs that a path's keys are data.
+
+    numeric: most keys are numbers. uniform: objects have but part of the keys (under 85 %), three or more there are, and all members have one
+    form. as_value: most keys are stored as values too, compared in normal form by a join.
+    """
+    keys = object_keys(nodes).select("path", "keys", "average", F.col("numeric").alias("numbers"))
+    inner = nodes.where("key is not null").groupBy(F.col("parent").alias("doc_parent"), "doc", "path", "kind").agg(F.lit(1).alias("_")).select("doc_parent", "doc", "path", "kind")
+    below = nodes.where("key is not null").select("doc", F.col("parent").alias("path"), F.col("key").alias("k")).groupBy("doc", "path").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("form"))
+    member = inner.join(below, ["doc", "path"], "left").select(F.col("doc_parent").alias("path"), F.concat_ws(":", "kind", "form").alias("form")).where("form <> 'null'")
+    forms = member.groupBy("path").agg(F.count_distinct("form").alias("forms"))
+    stored = nodes.where("value is not null").select(normal(F.col("value")).alias("norm")).distinct().withColumn("stored", F.lit(1))
+    named = nodes.where("key is not null").select(F.col("parent").alias("path"), "key").distinct().withColumn("norm", normal(F.col("key"))).join(stored, "norm", "left").groupBy("path").agg(F.count("stored").alias("as_values"))
+    most = lambda c: F.coalesce(F.col(c), F.lit(0)) >= F.greatest(F.lit(2.0), 0.6 * F.col("keys"))
+    uniform = (F.col("keys") >= 3) & (F.col("average") < 0.85 * F.col("keys")) & (F.coalesce("forms", F.lit(0)) == 1)
+    return keys.join(forms, "path", "left").join(named, "path", "left").select("path", most("numbers").alias("numeric"), uniform.alias("uniform"), most("as_values").alias("as_value"))
+
+
 def dynamic_paths(nodes: DataFrame, rules: str = "default") -> list[str]:
     """Paths whose keys are data. Judged again once keys are collapsed, so that maps inside maps are found too."""
     cond = " or ".join(f"({RULES[r]})" for r in RULE_SETS[rules])
@@ -120,6 +138,8 @@ def dynamic_paths(nodes: DataFrame, rules: str = "default") -> list[str]:
     for _ in range(3):
         own = nodes if not found else collapse(nodes, found)
         new = {r.path for r in object_keys(own).where(cond).where("path <> ''").select("path").collect()} - set(found)
+        if rules == "signals":
+            new |= {r.path for r in key_signals(own).where("(numeric or uniform or as_value) and path <> ''").select("path").collect()} - set(found)
         if not new:
             break
         found = sorted({*found, *new}, key=lambda p: (p.count("."), p))
@@ -144,6 +164,7 @@ class Index:
     collection: str
     types: dict[str, dict[str, int]] = field(default_factory=dict)
     dynamic: list[str] = field(default_factory=list)
+    example: str = "<*>"
 
     @property
     def paths(self) -> set[str]:
@@ -163,11 +184,12 @@ class Index:
         return any(len(want) <= len(own) and all(a in ("<*>", b) for a, b in zip(own, want, strict=False)) for own in (p.split(".") for p in self.paths))
 
     def card(self, most: int = 400, mode: str = "lattice") -> str:
-        """The shallowest paths with their types, as text; mode toplevel shows fields of the document alone."""
+        """The shallowest paths with their types, as text; mode toplevel shows fields of the document alone, nocollapse an example for each key that is data."""
         own = sorted(self.types, key=lambda p: (p.count(".") + p.count("[]"), p))
         if mode == "toplevel":
             own = [p for p in own if "." not in p and "[]" not in p]
-        return "\n".join(f"{self.collection}.{p}: {self.dominant(p)}" for p in own[:most])
+        show = lambda p: p.replace("<*>", self.example) if mode == "nocollapse" else p
+        return "\n".join(f"{self.collection}.{show(p)}: {self.dominant(p)}" for p in own[:most])
 
 
 def induce(df: DataFrame, collection: str, rules: str = "default", id_col: str = "_id") -> Index:
@@ -180,6 +202,43 @@ def induce(df: DataFrame, collection: str, rules: str = "default", id_col: str =
     return index
 
 
+def lattice(nodes: DataFrame) -> DataFrame:
+    """(path, kind, n, dominant): nodes of each path by kind; dominant marks the most common kind (of equal ones the first by name)."""
+    from pyspark.sql import Window
+
+    counts = nodes.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("dominant", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "kind")) == 1)
+
+
+def shape_profile(nodes: DataFrame, documents: int) -> DataFrame:
+    """(path, present, kinds, least, most, average): share of documents that have a path, its kinds, and the lengths of its arrays."""
+    return nodes.groupBy("path").agg(
+        F.round(F.count_distinct(F.when(F.col("kind") != "null", F.col("doc"))) / F.lit(max(1, documents)), 6).alias("present"), F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"),
+        F.min("size").alias("least"), F.max("size").alias("most"), F.round(F.avg("size"), 6).alias("average"),
+    )
+
+
+def id_examples(nodes: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """(path, example): the least values of fields whose names say that they identify."""
+    own = nodes.where("value is not null").where(F.element_at(F.split("path", r"[.]"), -1).rlike(ID_FIELD)).select("path", F.col("value").alias("example")).distinct()
+    from pyspark.sql import Window
+
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("example"))).where(F.col("n") <= most).drop("n")
+
+
+def frequent_keys(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """(path, key, n): the most frequent keys of each path."""
+    from pyspark.sql import Window
+
+    counts = nodes.where("key is not null").groupBy(F.col("parent").alias("path"), "key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "key"))).where(F.col("r") <= most).drop("r")
+
+
+def introspect(nodes: DataFrame, dynamic: list[str]) -> DataFrame:
+    """(path, kind, dynamic): the dominant kind of each path, keys that are data collapsed, and whether its keys are."""
+    return lattice(collapse(nodes, dynamic)).where("dominant").select("path", "kind", F.col("path").isin(*dynamic).alias("dynamic") if dynamic else F.lit(False).alias("dynamic"))
+
+
 def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s_\-]+", " "))
 

@@ -517,9 +517,13 @@ def _window_fields(s: State, spec: dict[str, Any]) -> State:
             plain = {"$first": F.first, "$last": F.last, "$min": F.min, "$max": F.max, "$avg": F.avg, "$stdDevPop": F.stddev_pop, "$stdDevSamp": F.stddev_samp}
             c = F.count(F.lit(1)).over(over) * (arg if op == "$sum" else 1) if op in ("$sum", "$count") else plain[op](E.compile(arg, scope).col).over(over)
         columns[k] = c
-    flat = {k: c for k, c in columns.items() if "." not in k}
-    out = s.df.withColumns(flat)
-    return s.to(out, tuple(spec.get("sortBy", {}).items()))
+    # windows are columns first: a dotted output goes into the field that its path names
+    made = s.df.withColumns({f"__w{i}": c for i, c in enumerate(columns.values())})
+    own = {f.name: E.Value(F.col(name(f.name)), f.dataType) for f in s.df.schema.fields}
+    for i, k in enumerate(columns):
+        path = k.split(".")
+        own[path[0]] = _set(own.get(path[0]), path[1:], E.Value(F.col(f"__w{i}"), made.schema[f"__w{i}"].dataType))
+    return s.to(made.select(*(v.col.alias(k) for k, v in own.items())), tuple(spec.get("sortBy", {}).items()))
 
 
 def _densify(s: State, spec: dict[str, Any]) -> State:

@@ -115,17 +115,42 @@ def signature(x: Any) -> str:
     return hashlib.sha256(json.dumps(canonical_value(x), sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
-def resistance(stages: Stages) -> str:
-    """How far the query is from flat SQL: strong, medium or weak."""
+def resistance(stages: Stages, verified: bool = False) -> str:
+    """How far the query is from flat SQL: strong, medium or weak. A strong operator needs a second sign: another one, a medium one, or verification."""
     used = operators(stages)
-    return "strong" if used & STRONG else "medium" if used & MEDIUM else "weak"
+    strong, medium = used & STRONG, used & MEDIUM
+    if {"$unwind", "$group"} <= used and not strong and "$filter" not in used:
+        return "weak"
+    signs = len(strong) + bool(medium) + verified
+    return "strong" if strong and signs > 1 else "medium" if strong or medium else "weak"
 
 
 def depths(stages: Stages) -> dict[str, Any]:
-    joins = sum(1 for kind, s in walk(stages) if kind == "key" and s in ("$lookup", "$graphLookup"))
-    groups = sum(1 for kind, s in walk(stages) if kind == "key" and s == "$group")
-    name = lambda n: "3+" if n >= 3 else str(n)
-    return {"join_depth": name(joins), "aggregation_depth": name(groups), "length": "shallow" if len(stages) <= 2 else "medium" if len(stages) <= 4 else "deep"}
+    """Joins among the stages, up to 3+, and how deep aggregation goes."""
+    root = [k for s in stages for k in s]
+    joins = sum(k in ("$lookup", "$graphLookup", "$unionWith") for k in root)
+    groups = any(k in ("$group", "$bucket", "$bucketAuto", "$facet", "$setWindowFields") for k in root)
+    return {"join_depth": "3+" if joins >= 3 else str(joins), "aggregation_depth": "shallow" if not groups else "medium" if len(stages) <= 4 else "deep"}
+
+
+def synthetic_id(rows: list[dict[str, Any]], look: int = 5) -> bool:
+    """Do the first rows show an ``_id`` put together from parts?"""
+    return any("::" in str(r.get("_id", "")) for r in rows[:look])
+
+
+#: Structure -> which operators show that a pipeline uses it: one of each set.
+USES: dict[str, tuple[frozenset[str], ...]] = {
+    "dynamic_key_object": (frozenset({"$objectToArray"}),), "polymorphic_collection": (frozenset({"$switch", "$cond", "$eq", "$in"}),), "derived_tag_array": (frozenset({"$setIntersection", "$setIsSubset", "$setUnion"}), frozenset({"$size", "$setIsSubset"})),
+    "nested_event_stream": (frozenset({"$filter"}),), "missing_vs_present": (frozenset({"$exists", "$type", "$ifNull", "$cond"}),),
+}
+
+
+def uses_feature(stages: Stages, kind: str, path: str) -> list[str]:
+    """What a pipeline lacks to show a native structure of a kind at a path; nothing if it does."""
+    used, text = operators(stages), json.dumps(stages, ensure_ascii=False, default=str)
+    out = [f"none of {', '.join(sorted(x))}" for x in USES[kind] if not used & x]
+    named = any(re.search(rf"(?<![\w.]){re.escape(p)}(?![\w])", text) for p in (path, path.rsplit(".", 1)[-1]))
+    return out if named else [*out, f"no mention of {path}"]
 
 
 def limit_missing(question: str, stages: Stages) -> bool:

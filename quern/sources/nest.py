@@ -6,7 +6,7 @@ result allows, and a document is never larger than the rows of its own entity.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +30,12 @@ def month(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
-def keyed_map(rows: DataFrame, by: Sequence[str], map_key: Column, values: Mapping[str, Column], into: str) -> DataFrame:
-    """One row for each ``by``: a map from key to a struct of aggregates, in key order; null keys are left out."""
+def keyed_map(rows: DataFrame, by: Sequence[str], map_key: Column, values: Mapping[str, Column], into: str, ordered: bool = True) -> DataFrame:
+    """One row for each ``by``: a map from key to a struct of aggregates, in key order; null keys are left out. Not ordered: for values that hold maps."""
     inner = rows.withColumn("__k", map_key).where("__k is not null").groupBy(*by, "__k").agg(*(c.alias(k) for k, c in values.items()))
     pair = F.struct(F.col("__k").alias("key"), F.struct(*values).alias("value"))
-    return inner.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias(into))
+    pairs = F.collect_list(pair)
+    return inner.groupBy(*by).agg(F.map_from_entries(F.array_sort(pairs) if ordered else pairs).alias(into))
 
 
 def event_array(rows: DataFrame, by: Sequence[str], order: Sequence[Column], fields: Mapping[str, Column], into: str, most: int | None = None) -> DataFrame:
@@ -72,6 +73,12 @@ def unpivot_map(columns: Sequence[str]) -> Column:
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*map(F.col, columns))), lambda _, v: v.isNotNull())
 
 
+def code_map(columns: Mapping[str, Column], groups: Mapping[str, str], bucket: Callable[[Column], Column]) -> Column:
+    """Columns as a map from code to value, presence state, group and bucket."""
+    cell = lambda k, c: F.struct(c.alias("value"), presence(c).alias("presence_state"), F.lit(groups[k]).alias("group"), bucket(c).alias("bucket"))
+    return F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(cell(k, c) for k, c in columns.items())))
+
+
 def latest(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each group; ``order`` should end with a unique column."""
     rest = [c for c in rows.columns if c not in by]

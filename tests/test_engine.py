@@ -135,10 +135,10 @@ def test_catalogue_against_sql(spark):
 
 def test_catalogue_shows_stages_on_whole_tables(spark):
     customers, orders = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").collect() for t in ("customer", "orders"))
-    made = {k: [r.asDict() for r in catalog.query(k)(spark, "/root/testdata/sf0.001").collect()] for k in ("nested_inclusion_whole", "densified_whole", "graph_lookup_chain")}
+    made = {k: [r.asDict() for r in catalog.query(k)(spark, "/root/testdata/sf0.001").collect()] for k in ("nested_inclusion", "densified", "graph_lookup")}
     names, nation = {c.c_custkey: c.c_name for c in customers}, {c.c_custkey: c.c_nationkey for c in customers}
-    assert sorted((r["order_key"], r["name"]) for r in made["nested_inclusion_whole"]) == sorted((o.o_orderkey, names[o.o_custkey]) for o in orders if o.o_custkey in names)
-    assert [r["tripled"] for r in made["densified_whole"]] == list(range(3 * min(names), 3 * max(names) + 1))
+    assert sorted((r["order_key"], r["name"]) for r in made["nested_inclusion"]) == sorted((o.o_orderkey, names[o.o_custkey]) for o in orders if o.o_custkey in names)
+    assert [r["tripled"] for r in made["densified"]] == list(range(3 * min(names), 3 * max(names) + 1))
     want = {}
     for c in names:
         seen, at = [], c
@@ -146,4 +146,4 @@ def test_catalogue_shows_stages_on_whole_tables(spark):
             seen.append(at)
             at = nation[at]
         want[f"customer:{c}"] = (len(seen), len(seen) - 1)
-    assert {r["_id"]: (r["n"], r["hops"]) for r in made["graph_lookup_chain"]} == want and max(n for n, _ in want.values()) > 2
+    assert {r["_id"]: (r["n"], r["hops"]) for r in made["graph_lookup"]} == want and max(n for n, _ in want.values()) > 2

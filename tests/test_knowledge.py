@@ -1,5 +1,6 @@
 """Induction, gates, comparison and scoring."""
 
+import json
 import math
 
 import pytest
@@ -106,7 +107,10 @@ def test_metric_sweep():
     gold = [{"a": i, "b": f"r{i}"} for i in range(4)]
     passes = {(r["probe"], r["surplus"]): r["passes"] for r in E.surplus_sweep(gold)}
     assert [passes["double_helper", b] for b in (0, 1, 2, 3, math.inf)] == [False, False, True, True, True]
-    assert not passes["triple_surplus", 2] and passes["triple_surplus", 3] and passes["full_dump", math.inf] and not passes["empty", math.inf] and not passes["constant", math.inf]
+    assert not passes["triple_surplus", 2] and passes["triple_surplus", 3] and passes["full_doc_dump", math.inf] and not passes["empty_result", math.inf] and not passes["constant_scalar", math.inf]
+    assert not any(r["passes"] for r in E.surplus_sweep([]) if r["probe"] == "constant_scalar") and E.least_sound_surplus([(gold, False), (gold[:1], True)])["surplus"] == 2 == E.SURPLUS
+    assert E.self_scores(gold) == [] and E.self_scores([]) == ["empty"] and E.same_named_rows(gold, gold[::-1]) and not E.same_named_rows([{"a": 1}], [{"b": 1}])
+    assert E.outcome(gold, gold[::-1], ordered=True) == "order_only" and E.outcome(gold, [{**r, "more": i} for i, r in enumerate(gold[::-1])], ordered=True) == "value_mismatch"
     assert E.mcnemar(0, 0) == 1.0 and E.mcnemar(5, 0) == 0.0625 == E.mcnemar(0, 5) and E.entropy([1, 1, 1, 1]) == 1.0
     best = E.vote([{"rows": [{"a": 1}]}, {"rows": [{"b": 2}], "violations": 0}, {"rows": [{"c": 2}], "violations": 1}, {"rows": None}])
     assert best["votes"] == 2 and best["rows"] == [{"b": 2}]
@@ -131,11 +135,17 @@ def test_frames(spark):
 def test_sources(spark, tmp_path):
     world = World(spark, "/root/testdata/sf0.001")
     parts = world["part_catalog"]
-    assert len(world) == 7 and tables.exists(parts, "size(tags) > 2")
+    assert len(world) == 16 and tables.exists(parts, "size(tags) > 2")
     rows, more = tables.bounded(parts, 10)
     assert len(rows) == 10 and more and tables.bounded(parts.limit(3), 3)[1] is False
     assert [r["_id"] for r in tables.preview(tables.front(parts, 2))] == ["part:0", "part:1"]
-    assert 0 < tables.stride(parts, 20).count() < parts.count()
+    every = sorted(r._id for r in parts.select("_id").collect())
+    assert sorted(r._id for r in tables.stride(parts, 20).select("_id").collect()) == every[:: -(-len(every) // 20)]
+    assert tables.find_one(parts, "part_id = 3", ["_id"]) == {"_id": "part:3"} and tables.find_one(parts, "part_id = -1") is None
+    assert len(tables.snapshot({"p": parts}, 2)["p"]) == 2 and tables.digest(parts, 1)["values"] and tables.observed(parts, 1, 10) == {"rows": len(every), "shown": tables.observed(parts, 1, 10)["shown"], "cut": True}
+    assert json.loads("{" + tables.to_yaml({"a": 1}).strip() + "}") == {"a": 1} and tables.to_yaml([{"b": ["x"]}]) == '-\n  "b":\n    - "x"\n' and tables.to_markdown([{"a": 1, "b": "x|y"}]).splitlines()[2] == "| 1 | x\\|y |"
+    (tmp_path / "r.json").write_text(json.dumps([{"db_id": "d", "record_id": i, "k": {"$oid": f"o{i}"}} for i in range(4)]))
+    assert [r.k for r in tables.extended(tables.release(spark, str(tmp_path / "r.json"), ["d"], [1, 2], 1)).collect()] == ["o1"]
     raw = tables.raw_documents(parts, 1, 20)[0]
     assert raw["truncated"] and len(raw["text"].encode()) <= 20
     for kind in ("json", "csv", "parquet"):

@@ -43,8 +43,9 @@ def test_analysis():
     _, b = parse("db.c.aggregate([{$lookup: {from: 'e', localField: 'q', foreignField: 'r', as: 's'}}, {$project: {n: {$objectToArray: '$n'}}}, {$sort: {b: 1}}])")
     assert policy.signature(policy.skeleton(a)) == policy.signature(policy.skeleton(b)) and policy.signature(a) != policy.signature(b)
     assert policy.canonical_form(a)["must"] == ["$lookup"] and not policy.meets(b, policy.canonical_form(a)) and policy.meets(b[1:], policy.canonical_form(a)) == ["lacks $lookup"]
-    assert policy.resistance(a) == "strong" and policy.order_sensitive(a) and not policy.order_sensitive(a[:2])
-    assert policy.depths(a) == {"join_depth": "1", "aggregation_depth": "0", "length": "medium"}
+    assert policy.resistance(a) == "medium" and policy.resistance(a, verified=True) == "strong" and policy.resistance([*a, {"$project": {"x": {"$ifNull": ["$x", 0]}}}]) == "strong" and policy.resistance([{"$unwind": "$e"}, {"$group": {"_id": {"$ifNull": ["$a", 1]}}}]) == "weak" and policy.order_sensitive(a) and not policy.order_sensitive(a[:2])
+    assert policy.depths(a) == {"join_depth": "1", "aggregation_depth": "shallow"} and policy.depths([{"$unionWith": "x"}, {"$bucket": {}}]) == {"join_depth": "1", "aggregation_depth": "medium"} and policy.depths([{"$lookup": {}}] * 4 + [{"$group": {}}]) == {"join_depth": "3+", "aggregation_depth": "deep"}
+    assert policy.uses_feature(a, "dynamic_key_object", "own.m") == [] and policy.uses_feature(a, "nested_event_stream", "nowhere") == ["none of $filter", "no mention of nowhere"] and policy.synthetic_id([{"_id": "a::b"}]) and not policy.synthetic_id([{"_id": "a"}])
     assert policy.limit_missing("the top 5 of them", a) and not policy.limit_missing("the top 5", [{"$limit": 5}])
     assert policy.signature({"a": 1.0, "b": -0.0}) == policy.signature({"b": 0, "a": 1}) != policy.signature({"a": True, "b": 0})
 
