@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import forget, written
 from quern.llm.hashing import Prefix, digests, minimizer_runs
 
-WIDTH, GRAM, BLOCK = 20, 8, 64
+WIDTH, GRAM, BLOCK, SLICES = 20, 8, 64, 2
 #: Bytes of text that a worker holds as words at a time, if one text isn't longer.
 AT_ONCE = 1 << 20
 #: Distinct words whose hashes a worker remembers at a time.
@@ -164,13 +164,17 @@ def compacted(graph: DataFrame, block: int = BLOCK) -> DataFrame:
     return out
 
 
-def removed(rows: DataFrame, width: int, gram: int) -> DataFrame:
+def removed(rows: DataFrame, width: int, gram: int, slices: int = SLICES) -> DataFrame:
     """(doc, start, n): windows of each document that are found at an earlier coordinate. rows: from keyed()."""
     runs = written(super_kmers(rows, width, gram))
     place = F.xxhash64("doc", "start")
     several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
-    keys = runs.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), several.alias("several")).where("a <> b").select("key", "several")
-    met = written(runs.join(keys, "key"))
+    met = None
+    for s in range(slices):  # of the minimizers, one after another: it divides the disk that the join needs
+        own = runs.where(F.pmod("key", F.lit(slices)) == s)
+        keys = own.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), several.alias("several")).where("a <> b").select("key", "several")
+        part = written(own.join(keys, "key"))
+        met = part if met is None else met.unionByName(part)
     forget(runs)
     at = F.struct("doc", "start")
     classes = written(met.groupBy("key", "d1", "d2", "several", "n").agg(F.min(at).alias("one"), F.max(at).alias("last")).select("key", "d1", "d2", "one.*", "n", F.expr("one <> last").alias("copies"), F.expr("not several").alias("whole")))
