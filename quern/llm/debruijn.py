@@ -42,32 +42,33 @@ from quern.llm.hashing import Prefix, digests, minimizer_runs
 WIDTH, GRAM, BLOCK, SLICES = 20, 8, 64, 2
 #: Bytes of text that a worker holds as words at a time, if one text isn't longer.
 AT_ONCE = 1 << 20
-#: Distinct words whose hashes a worker remembers at a time.
-REMEMBER = 400_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        self[word] = out = xxh64_intdigest(word, 7)
-        return out
+#: The bytes that separate words.
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 class Words:
-    """The words of a batch of texts end to end: hashes, the bytes they join to, and where each word and text ends."""
-
-    def __init__(self, texts: pa.Array, known: WordHashes):
-        if len(known) > REMEMBER:
-            known.clear()
-        split = [(t.as_py() or b"").split() for t in texts]
-        self.sizes = np.array([len(x) for x in split], dtype=np.int64)
-        self.ends = np.cumsum(self.sizes)
-        every = [w for x in split for w in x]
-        self.hashes = np.fromiter(map(known.__getitem__, every), dtype=np.uint64, count=len(every))
-        self.joined = b" ".join(every)
-        self.at = np.zeros(len(every) + 1, dtype=np.int64)  # where each word begins
-        np.cumsum(np.fromiter(map(len, every), dtype=np.int64, count=len(every)) + 1, out=self.at[1:])
+    """The words of a batch of texts end to end: the bytes they join to, where each word and text ends, and hashes to look with."""
+
+    def __init__(self, texts: pa.Array):
+        each = texts.fill_null(b"").to_pylist()
+        data = np.frombuffer(b" ".join([*each, b""]), dtype=np.uint8)  # a blank follows each text
+        inside = ~BLANK[data]
+        after = np.zeros_like(inside)
+        after[1:] = inside[:-1]
+        starts, stops = np.flatnonzero(inside & ~after), np.flatnonzero(after & ~inside)
+        self.ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)) + 1))
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.at = np.zeros(len(starts) + 1, dtype=np.int64)  # where each word begins
+        np.cumsum(stops - starts + 1, out=self.at[1:])
+        joined = np.where(inside, data, np.uint8(ord(" ")))[inside | after]
+        self.joined = joined.tobytes()
+        self.hashes = np.empty(len(starts), dtype=np.uint64)
+        low = 0
+        while low < len(starts):  # about AT_ONCE bytes at a time, one word at least
+            high = max(low + 1, int(np.searchsorted(self.at, self.at[low] + AT_ONCE, side="right")) - 1)
+            at = self.at[low : high + 1] - self.at[low]
+            self.hashes[low:high] = Prefix(joined[self.at[low] : self.at[high]]).of(at[:-1], at[1:] - 1)
+            low = high
 
     def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return digests(self.joined, self.at[start].tolist(), (self.at[end] - 1).tolist())
@@ -95,9 +96,8 @@ def super_kmers(rows: DataFrame, width: int, gram: int) -> DataFrame:
     """(doc, start, n, key, d1, d2): runs of n windows with one minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in (x for whole in batches for x in portions(whole, 1)):
-            words = Words(b.column(1), known)
+            words = Words(b.column(1))
             for start, n, _, key in minimizer_runs(words.hashes, words.ends, width, gram):
                 doc = np.searchsorted(words.ends, start, side="right")
                 d = words.digests(start, start + n - 1 + width)
@@ -111,9 +111,8 @@ def opened(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     wanted = chosen.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "copies", "whole")).alias("runs"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in (x for whole in batches for x in portions(whole, 1)):
-            words = Words(b.column(1), known)
+            words = Words(b.column(1))
             many, mine = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
             first, n, copies, whole = (mine.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             edges = np.where(whole, 1, n)
