@@ -166,18 +166,18 @@ def compacted(graph: DataFrame, block: int = BLOCK) -> DataFrame:
 def removed(rows: DataFrame, width: int, gram: int, slices: int = SLICES) -> DataFrame:
     """(doc, start, n): windows of each document that are found at an earlier coordinate. rows: from keyed()."""
     runs = written(super_kmers(rows, width, gram))
-    place = F.xxhash64("doc", "start")
-    several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
     met = None
     for s in range(slices):  # of the minimizers, one after another: it divides the disk that the join needs
         own = runs.where(F.pmod("key", F.lit(slices)) == s)
-        keys = own.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), several.alias("several")).where("a <> b").select("key", "several")
+        keys = own.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
         part = written(own.join(keys, "key"))
         met = part if met is None else met.unionByName(part)
     forget(runs)
     at = F.struct("doc", "start")
-    classes = written(met.groupBy("key", "d1", "d2", "several", "n").agg(F.min(at).alias("one"), F.max(at).alias("last")).select("key", "d1", "d2", "one.*", "n", F.expr("one <> last").alias("copies"), F.expr("not several").alias("whole")))
-    every = written(opened(rows, classes.select("doc", "start", "n", "copies", "whole"), width))
+    classes = written(met.groupBy("key", "d1", "d2", "n").agg(F.min(at).alias("one"), F.max(at).alias("last")).select("key", "d1", "d2", "one.*", "n", F.expr("one <> last").alias("copies")))
+    alone = classes.groupBy("key").agg((F.min("d1") == F.max("d1")).alias("same1"), (F.min("d2") == F.max("d2")).alias("same2")).select("key", F.expr("same1 and same2").alias("whole"))
+    chosen = classes.join(alone, "key").where("copies or not whole")
+    every = written(opened(rows, chosen.select("doc", "start", "n", "copies", "whole"), width))
     graph = written(edges(every))
     paths = compacted(graph)
     forget(graph)
