@@ -27,7 +27,7 @@ _T = "WITH t AS (SELECT conv_id AS c, turn, role, length(text) AS n FROM convers
 
 # --- accounts ----------------------------------------------------------------------------------------
 _add("monthly_account_cashflow_matrix", "account_books", """[{$project: {account: "$identity.account_id", month: {$objectToArray: "$cashflow.by_month"}}}, {$unwind: "$month"}, {$unwind: "$month.v.entries"}, {$group: {_id: {month: "$month.k", kind: "$month.v.entries.type"}, total: {$sum: "$month.v.entries.amount"}, entries: {$sum: 1}, accounts: {$addToSet: "$account"}}}, {$project: {_id: 0, month: "$_id.month", kind: "$_id.kind", total: {$round: ["$total", 2]}, entries: 1, accounts: {$size: "$accounts"}}}, {$sort: {month: 1, kind: 1}}, {$limit: 50}]""",
-     f"{_O} SELECT m AS month, st AS kind, round(sum(a), 2) AS total, count(*) AS entries, count(DISTINCT c) AS accounts FROM o GROUP BY ALL ORDER BY month, kind LIMIT 50")
+     f"{_O} SELECT m AS month, st AS kind, round_even(sum(a), 2) AS total, count(*) AS entries, count(DISTINCT c) AS accounts FROM o GROUP BY ALL ORDER BY month, kind LIMIT 50")
 _add("loan_status_repayment_schedule", "account_books", """[{$match: {"credit.presence_state": "present"}}, {$project: {segment: "$identity.segment", due: {$objectToArray: {$ifNull: ["$schedule.by_due_month", {}]}}}}, {$unwind: "$due"}, {$group: {_id: {segment: "$segment", month: "$due.k"}, payments: {$sum: "$due.v.payments"}, largest: {$max: "$due.v.due"}}}, {$sort: {"_id.month": 1, "_id.segment": 1}}, {$limit: 40}]""",
      f"{_O}, d AS (SELECT seg, due, c, round(sum(a), 4) AS v, count(*) AS n FROM o WHERE st <> 'F' AND c IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY ALL) SELECT {{'segment': seg, 'month': due}} AS _id, sum(n)::BIGINT AS payments, max(v) AS largest FROM d GROUP BY seg, due ORDER BY due, seg LIMIT 40")
 _add("disposition_role_card_network", "account_books", """[{$project: {roles: {$objectToArray: {$ifNull: ["$disposition.by_role", {}]}}}}, {$unwind: "$roles"}, {$unwind: "$roles.v.cards"}, {$project: {role: "$roles.k", status: "$roles.v.cards.status"}}, {$group: {_id: {role: "$role", status: "$status"}, cards: {$sum: 1}}}, {$sort: {cards: -1}}]""",
@@ -39,7 +39,7 @@ _add("counterparty_operation_symbol_matrix", "account_books", """[{$project: {op
 _add("actor_career_history_by_year", "account_books", """[{$addFields: {years: {$objectToArray: {$ifNull: ["$career.by_year", {}]}}}}, {$match: {$expr: {$gte: [{$size: "$years"}, 5]}}}, {$project: {years: 1}}, {$unwind: "$years"}, {$project: {year: "$years.k", orders: "$years.v.orders", open: "$years.v.open"}}, {$sort: {orders: -1, _id: 1, year: 1}}, {$limit: 60}]""",
      f"{_O}, y AS (SELECT c, y, count(*) AS n, count(*) FILTER (WHERE st = 'O') AS w, count(*) OVER (PARTITION BY c) AS years FROM o GROUP BY c, y) SELECT 'account:' || c AS _id, y AS year, n AS orders, w AS open FROM y WHERE years >= 5 ORDER BY orders DESC, _id, year LIMIT 60")
 _add("student_club_budget_category_rollup", "account_books", """[{$project: {segment: "$identity.segment", operations: {$objectToArray: {$ifNull: ["$counterparty.by_operation", {}]}}}}, {$unwind: "$operations"}, {$group: {_id: {segment: "$segment", operation: "$operations.k"}, spent: {$sum: "$operations.v.amount"}, n: {$sum: "$operations.v.operations"}}}, {$project: {_id: 0, segment: "$_id.segment", operation: "$_id.operation", spent: {$round: ["$spent", 2]}, mean: {$round: [{$divide: ["$spent", "$n"]}, 2]}}}, {$sort: {segment: 1, operation: 1}}]""",
-     f"{_O} SELECT seg AS segment, st || '::' || pr AS operation, round(sum(a), 2) AS spent, round(sum(a) / count(*), 2) AS mean FROM o GROUP BY ALL")
+     f"{_O} SELECT seg AS segment, st || '::' || pr AS operation, round_even(sum(a), 2) AS spent, round_even(sum(a) / count(*), 2) AS mean FROM o GROUP BY ALL")
 _add("community_user_reputation_activity_lattice", "account_books", """[{$project: {segment: "$identity.segment", years: {$objectToArray: {$ifNull: ["$career.by_year", {}]}}}}, {$unwind: "$years"}, {$project: {segment: 1, year: "$years.k", level: [{$cond: [{$gte: ["$years.v.orders", 3]}, "busy", "calm"]}]}}, {$unwind: "$level"}, {$group: {_id: {segment: "$segment", year: "$year", level: "$level"}, accounts: {$sum: 1}}}, {$sort: {"_id.year": 1, "_id.segment": 1, "_id.level": 1}}, {$limit: 30}]""",
      f"{_O}, y AS (SELECT c, seg, y, CASE WHEN count(*) >= 3 THEN 'busy' ELSE 'calm' END AS lv FROM o GROUP BY c, seg, y) SELECT {{'segment': seg, 'year': y, 'level': lv}} AS _id, count(*) AS accounts FROM y GROUP BY seg, y, lv ORDER BY y, seg, lv LIMIT 30")
 _add("community_topic_status_year_buckets", "account_books", """[{$project: {months: {$objectToArray: {$ifNull: ["$cashflow.by_month", {}]}}}}, {$unwind: "$months"}, {$project: {year: {$substrCP: ["$months.k", 0, 4]}, entries: "$months.v.entries"}}, {$unwind: "$entries"}, {$project: {year: 1, status: "$entries.type", big: {$cond: [{$gt: ["$entries.amount", 200000]}, 1, 0]}}}, {$group: {_id: {year: "$year", status: "$status"}, topics: {$sum: 1}, big: {$sum: "$big"}}}, {$sort: {"_id.year": 1, "_id.status": 1}}, {$limit: 15}]""",
@@ -112,7 +112,7 @@ _add("presence_state_bucket_counts", "part_measures", """[{$addFields: {state: {
 _add("diagnosis_risk_group_patient_matrix", "segment_panels", """[{$project: {segment: ["$segment"], states: {$objectToArray: "$credit.by_credit"}}}, {$unwind: "$segment"}, {$unwind: "$states"}, {$group: {_id: {segment: "$segment", state: "$states.k"}, accounts: {$sum: "$states.v.accounts"}}}, {$sort: {"_id.segment": 1, "_id.state": 1}}]""",
      "SELECT {'segment': c_mktsegment, 'state': CASE WHEN c_acctbal >= 0 THEN 'present' ELSE 'null' END} AS _id, count(*) AS accounts FROM customer GROUP BY c_mktsegment, CASE WHEN c_acctbal >= 0 THEN 'present' ELSE 'null' END")
 _add("school_frpm_year_trend", "segment_panels", """[{$project: {segment: ["$segment"], years: {$objectToArray: "$years.by_year"}}}, {$unwind: "$segment"}, {$unwind: "$years"}, {$project: {_id: 0, segment: 1, year: "$years.k", accounts: "$years.v.accounts", mean: {$round: [{$divide: ["$years.v.orders", "$years.v.accounts"]}, 4]}}}, {$sort: {segment: 1, year: 1}}]""",
-     f"{_O} SELECT seg AS segment, y AS year, count(DISTINCT c) AS accounts, round(count(*)::DOUBLE / count(DISTINCT c), 4) AS mean FROM o GROUP BY ALL")
+     f"{_O} SELECT seg AS segment, y AS year, count(DISTINCT c) AS accounts, round_even(count(*)::DOUBLE / count(DISTINCT c), 4) AS mean FROM o GROUP BY ALL")
 _add("district_grade_span_equity_comparison", "nation_panels", """[{$project: {nation: ["$nation_id"], measures: {$objectToArray: "$measures"}}}, {$unwind: "$nation"}, {$unwind: "$measures"}, {$group: {_id: "$measures.k", nations: {$sum: 1}, most: {$max: "$measures.v"}}}, {$sort: {_id: 1}}]""",
      "WITH a AS (SELECT c_nationkey AS n, count(*)::DOUBLE AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS n, count(*)::DOUBLE AS v FROM supplier WHERE s_acctbal > 0 GROUP BY 1), m AS (SELECT 'customers' AS k, v FROM a UNION ALL SELECT 'suppliers', v FROM b UNION ALL SELECT 'per_supplier', round(a.v / b.v, 4) FROM a JOIN b USING (n)) SELECT k AS _id, count(*) AS nations, max(v) AS most FROM m GROUP BY k")
 _add("county_sat_frpm_readiness_panel", "nation_panels", """[{$project: {totals: ["$totals"], nation_id: 1, measures: {$objectToArray: "$measures"}}}, {$unwind: "$totals"}, {$unwind: "$measures"}, {$project: {_id: 0, nation_id: 1, measure: "$measures.k", value: "$measures.v", balance: "$totals.balance"}}, {$sort: {nation_id: 1, measure: 1}}]""",

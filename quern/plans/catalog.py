@@ -78,7 +78,7 @@ _add(
     """[{$project: {segment: "$identity.segment", months: {$objectToArray: {$ifNull: ["$cashflow.activity_by_month", {}]}}}}, {$unwind: "$months"},
         {$group: {_id: {segment: "$segment", month: "$months.k"}, customers: {$sum: 1}, orders: {$sum: "$months.v.order_count"}, total: {$sum: "$months.v.total"}, largest: {$max: "$months.v.largest"}}},
         {$project: {_id: 0, segment: "$_id.segment", month: "$_id.month", customers: 1, orders: 1, total: {$round: ["$total", 2]}, largest: 1}}, {$sort: {segment: 1, month: 1}}]""",
-    f"{_MONTHS} SELECT c_mktsegment AS segment, k AS month, count(*) AS customers, sum(n)::BIGINT AS orders, round(sum(round(total, 4)), 2) AS total, max(largest) AS largest FROM m JOIN customer ON c = c_custkey GROUP BY ALL",
+    f"{_MONTHS} SELECT c_mktsegment AS segment, k AS month, count(*) AS customers, sum(n)::BIGINT AS orders, round_even(sum(round(total, 4)), 2) AS total, max(largest) AS largest FROM m JOIN customer ON c = c_custkey GROUP BY ALL",
 )
 _add(
     "status_buckets", "customer_ledgers",
@@ -99,7 +99,7 @@ _add(
     "day_profile", "user_timelines",
     """[{$project: {days: {$objectToArray: "$activity_by_day"}}}, {$unwind: "$days"}, {$match: {"days.v.event_count": {$gte: 2}}},
         {$project: {_id: 1, day: "$days.k", n: "$days.v.event_count", total: {$round: ["$days.v.value_total", 2]}}}, {$sort: {n: -1, _id: 1, day: 1}}, {$limit: 100}]""",
-    "SELECT 'user:' || user_id AS _id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, _id, day LIMIT 100",
+    "SELECT 'user:' || user_id AS _id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round_even(sum(value), 2) AS total FROM events GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, _id, day LIMIT 100",
 )
 _add(
     "one_day_without_unwinding", "user_timelines",
@@ -111,7 +111,7 @@ _add(
     """[{$project: {_id: 0, nation: 1, region: 1, segments: {$objectToArray: {$ifNull: ["$market.by_segment", {}]}}, suppliers: {$ifNull: ["$supply.suppliers", 0]}}}, {$unwind: "$segments"},
         {$project: {nation: 1, region: 1, segment: "$segments.k", customers: "$segments.v.customers", debt_share: {$round: [{$cond: [{$gt: ["$segments.v.customers", 0]}, {$divide: ["$segments.v.in_debt", "$segments.v.customers"]}, null]}, 6]},
                     per_supplier: {$round: [{$divide: ["$segments.v.customers", "$suppliers"]}, 6]}}}, {$sort: {nation: 1, segment: 1}}]""",
-    """SELECT n_name AS nation, r_name AS region, c_mktsegment AS segment, count(*) AS customers, round(count(*) FILTER (WHERE c_acctbal < 0) / count(*)::DOUBLE, 6) AS debt_share, round(count(*)::DOUBLE / nullif(any_value(coalesce(n, 0)), 0), 6) AS per_supplier
+    """SELECT n_name AS nation, r_name AS region, c_mktsegment AS segment, count(*) AS customers, round_even(count(*) FILTER (WHERE c_acctbal < 0) / count(*)::DOUBLE, 6) AS debt_share, round_even(count(*)::DOUBLE / nullif(any_value(coalesce(n, 0)), 0), 6) AS per_supplier
        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY ALL""",
 )
 _add(
@@ -135,7 +135,7 @@ _add(
 _add(
     "reduce_and_slice", "customer_ledgers",
     """[{$project: {n: {$size: {$ifNull: ["$timeline.entries", []]}}, sum: {$round: [{$reduce: {input: {$ifNull: ["$timeline.entries", []]}, initialValue: 0.0, in: {$add: ["$$value", "$$this.amount"]}}}, 2]}, first: {$arrayElemAt: ["$timeline.entries.order_key", 0]}, last: {$arrayElemAt: ["$timeline.entries.order_key", -1]}, three: {$size: {$slice: [{$ifNull: ["$timeline.entries", []]}, 3]}}}}, {$match: {n: {$gt: 0}}}, {$sort: {_id: 1}}]""",
-    "SELECT 'customer:' || o_custkey AS _id, count(*) AS n, round(sum(o_totalprice), 2) AS sum, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last, least(count(*), 3) AS three FROM orders GROUP BY o_custkey",
+    "SELECT 'customer:' || o_custkey AS _id, count(*) AS n, round_even(sum(o_totalprice), 2) AS sum, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last, least(count(*), 3) AS three FROM orders GROUP BY o_custkey",
 )
 _add(
     "match_operators", "trade_parties",
@@ -163,7 +163,7 @@ _add("auto_buckets", "part_catalog", """[{$bucketAuto: {groupBy: "$part_id", buc
      "WITH b AS (SELECT p_partkey AS k, ntile(4) OVER (ORDER BY p_partkey) AS t FROM part), g AS (SELECT t, min(k) AS low, max(k) AS top, count(*) AS count FROM b GROUP BY t) SELECT low, coalesce(lead(low) OVER (ORDER BY t), top) AS high, count FROM g")
 _add("sort_by_count", "customer_ledgers", """[{$sortByCount: "$identity.segment"}]""", "SELECT c_mktsegment AS _id, count(*) AS count FROM customer GROUP BY 1")
 _add("window_fields", "customer_ledgers", """[{$setWindowFields: {partitionBy: "$identity.segment", sortBy: {"ledger.balance": -1}, output: {place: {$rank: {}}, three: {$sum: "$ledger.balance", window: {documents: [-2, 0]}}}}}, {$match: {place: {$lte: 3}}}, {$project: {place: 1, three: {$round: ["$three", 2]}}}, {$sort: {_id: 1}}]""",
-     "SELECT _id, place, round(three, 2) AS three FROM (SELECT 'customer:' || c_custkey AS _id, rank() OVER w AS place, sum(c_acctbal) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC ROWS 2 PRECEDING) AS three FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)) WHERE place <= 3")
+     "SELECT _id, place, round_even(three, 2) AS three FROM (SELECT 'customer:' || c_custkey AS _id, rank() OVER w AS place, sum(c_acctbal) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC ROWS 2 PRECEDING) AS three FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)) WHERE place <= 3")
 _add("densified", "customer_ledgers", """[{$project: {_id: 0, tripled: {$multiply: ["$customer_id", 3]}}}, {$densify: {field: "tripled", range: {step: 1, bounds: "full"}}}, {$sort: {tripled: 1}}]""", "SELECT unnest(range(3 * min(c_custkey), 3 * max(c_custkey) + 1)) AS tripled FROM customer")
 _add("filled", "nation_markets", """[{$project: {_id: 0, nation_id: 1, mark: {$cond: [{$eq: [{$mod: ["$nation_id", 5]}, 0]}, "$nation_id", null]}}}, {$fill: {sortBy: {nation_id: 1}, output: {mark: {method: "locf"}}}}, {$sort: {nation_id: 1}}]""", "SELECT n_nationkey AS nation_id, n_nationkey - n_nationkey % 5 AS mark FROM nation")
 _add("graph_lookup", "customer_ledgers", """[{$graphLookup: {from: "customer_ledgers", startWith: "$customer_id", connectFromField: "identity.nation_id", connectToField: "customer_id", as: "reached", depthField: "hops"}}, {$project: {n: {$size: "$reached"}, hops: {$max: "$reached.hops"}}}, {$sort: {_id: 1}}]""",
