@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern import evaluate, induce
+from quern import evaluate, induce, release
 from quern.sources import tables
 from quern.sources.worlds import World
 
@@ -141,3 +141,42 @@ def eval_row_f1(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "customer").select("c_custkey", "c_name")
     some = tables.table(spark, sf, "customer").where("c_acctbal > 0").select("c_name", "c_custkey")
     return spark.createDataFrame([(evaluate.frame_f1(rows, some),)], "f1 double")
+
+
+_PIPELINE = "concat('db.t.aggregate([{$match: {a: ', cast(c_custkey % 90 as string), '}}', CASE WHEN c_mktsegment = 'BUILDING' THEN ', {$limit: 5}' ELSE '' END, '])')"
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    said = ("concat('db', c_nationkey) as db_id", "c_custkey as record_id", "named_struct('canonical', concat('Question  ', c_custkey % 70), 'colloquial', c_mktsegment) as nl_queries", f"{_PIPELINE} as MQL", "concat('L', c_custkey % 6) as difficulty",
+            "if(c_acctbal > 5000, 'structural_schema_flex', 'feasible') as sql_infeasibility_class", "if(c_acctbal > 0, 'dynamic_key', 'none') as schema_flex", "'preserve' as shape_policy", "'w' as world_signature")
+    return tables.table(spark, sf, "customer").selectExpr(*said)
+
+
+_RECORDS = "WITH r AS (SELECT 'db' || c_nationkey AS db_id, c_custkey AS id, c_custkey % 90 AS v, c_mktsegment = 'BUILDING' AS b, c_custkey % 70 AS q, c_custkey % 6 AS d, c_acctbal AS a FROM customer)"
+
+
+@_query(f"{_RECORDS}, p AS (SELECT unnest(['form allows forbidden operators', 'difficulty', 'structural flex isn''t hardest']) AS problem, unnest([true, d = 5, a > 5000 AND d <> 4]) AS broken FROM r) SELECT problem, count(*) AS n FROM p WHERE broken GROUP BY problem")
+def rel_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    return release.contracts(_records(spark, sf)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"{_RECORDS}, s AS (SELECT count(*) AS records, count(DISTINCT db_id) AS databases, avg((d = 4)::INT) AS h, avg((d = 0)::INT) AS e, avg((a > 0)::INT) AS f, avg((a > 5000)::INT) AS t FROM r) SELECT records, databases, round(h, 3) AS hardest, round(e, 3) AS easiest, round(f, 3) AS flexible, round(t, 3) AS structural, concat_ws(',', CASE WHEN databases <> 11 THEN 'databases' END, CASE WHEN h < 0.3 THEN 'hardest' END, CASE WHEN e > 0.05 THEN 'easiest' END, CASE WHEN f < 0.25 THEN 'flexible' END, CASE WHEN t < 0.2 THEN 'structural' END) AS broken FROM s")
+def rel_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return release.composition(_records(spark, sf))
+
+
+@_query(f"{_RECORDS}, k AS (SELECT db_id, 'pipeline' AS kind, min(id) AS first, count(*) AS n FROM r GROUP BY db_id, v, b HAVING count(*) > 1 UNION ALL SELECT db_id, 'question', min(id), count(*) FROM r GROUP BY db_id, q HAVING count(*) > 1 UNION ALL SELECT db_id, 'skeleton', min(id), count(*) FROM r GROUP BY db_id, b HAVING count(*) > 16) SELECT * FROM k")
+def rel_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return release.duplicates(_records(spark, sf))
+
+
+@_query(f"{_RECORDS}, g AS (SELECT db_id, max(n) AS m FROM (SELECT db_id, count(*) AS n FROM r GROUP BY db_id, b) GROUP BY db_id) SELECT db_id, count(*) AS records, count(DISTINCT (v, b)) AS pipelines, count(DISTINCT b) AS skeletons, count(DISTINCT q) AS questions, count(DISTINCT (q, v, b)) AS pairs, any_value(m) AS largest_family FROM r JOIN g USING (db_id) GROUP BY db_id")
+def rel_diversity(spark: SparkSession, sf: str) -> DataFrame:
+    return release.diversity(_records(spark, sf))
+
+
+@_query(f"WITH f AS (SELECT p_brand AS db_id, p_partkey::VARCHAR AS feature_id, {list(release.STRUCTURES)}[p_size % 5 + 1] AS structure, p_size % 5 AS o FROM part), p AS (SELECT *, sha256('7:' || db_id || ':' || feature_id) AS h, sha256('7:db:' || db_id) AS d, count(*) OVER (PARTITION BY db_id, structure) AS same, count(*) OVER (PARTITION BY db_id) AS total FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY db_id, structure ORDER BY h) AS k FROM p), u AS (SELECT *, unnest(range(1, ceil(25 / total)::BIGINT + 1)) AS use FROM k), t AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY use, (use - 1) * same + k, o, h) AS turn FROM u) SELECT row_number() OVER (ORDER BY turn, d)::INT AS slot, db_id, feature_id, structure, use::INT AS use FROM t WHERE turn <= 25")
+def rel_slots(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, release.STRUCTURES)), (F.col("p_size") % 5 + 1).cast("int"))
+    features = tables.table(spark, sf, "part").select(F.col("p_brand").alias("db_id"), F.col("p_partkey").cast("string").alias("feature_id"), kinds.alias("structure"))
+    return release.plan_slots(features, per_db=25, seed=7)
