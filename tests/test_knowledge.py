@@ -2,6 +2,8 @@
 
 import json
 import math
+import signal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,44 @@ def test_metric_sweep():
     assert best["votes"] == 2 and best["rows"] == [{"b": 2}]
 
 
+def exact_p(wins, losses):
+    n, tail, term = wins + losses, 1, 1
+    for i in range(min(wins, losses)):
+        term = term * (n - i) // (i + 1)
+        tail += term
+    return float(min(Fraction(1), Fraction(2 * tail, 1 << n)))
+
+
+@pytest.fixture
+def alarm():
+    def late(*_):
+        raise TimeoutError
+
+    was = signal.signal(signal.SIGALRM, late)
+    signal.alarm(30)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, was)
+
+
+def test_paired_test_of_many_tasks(alarm):
+    """As many wins and losses as 60 times sf0.1 has; one of them took over seven minutes when each binomial was made anew."""
+    for wins, losses in ((40723, 42678), (38854, 44054), (41500, 41501), (41500, 41300), (1023, 1024), (1024, 1024), (1000, 1100), (999, 1201), (0, 1080), (7, 1100), (0, 5000), (20, 90)):
+        assert E.mcnemar(wins, losses) == E.mcnemar(losses, wins) == exact_p(wins, losses), (wins, losses)
+    n = 10**8
+    for wins in (n // 2 - 5000, n // 2 - 20000):
+        assert E.mcnemar(wins, n - wins) == pytest.approx(math.erfc((n - 2 * wins - 1) / math.sqrt(2 * n)), rel=1e-5)
+
+
+def test_paired_over_many_rows(spark):
+    rows = spark.range(60000).selectExpr("'d' as db_id", "id as record_id", "int(id % 2) as a", "int(id % 20 < 11) as b")
+    scores = rows.selectExpr("db_id", "record_id", "stack(2, 'a', a, 'b', b) as (system_id, exc)")
+    got = E.paired(scores, "a").first()
+    want = [(i % 2, int(i % 20 < 11)) for i in range(60000)]
+    wins, losses = want.count((0, 1)), want.count((1, 0))
+    assert (got.system_id, got.wins, got.losses, got.delta) == ("b", wins, losses, 0.05) and got.p_value == exact_p(wins, losses)
+
+
 def test_frames(spark):
     a = spark.createDataFrame([(1, "x", True), (1, "x", True), (2, None, False)], "a int, b string, c boolean")
     b = spark.createDataFrame([("x", True, 1.0), (None, False, 2.0), ("x", True, 1.0)], "q string, r boolean, s double")
